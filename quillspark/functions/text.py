@@ -50,6 +50,15 @@ DANGLING_WORDS = ["and", "or", "but", "the", "a", "an", "of", "in", "to", "for",
 QUALITY_DANGLING_WORDS = ["and", "or", "but", "the", "a", "an", "of", "in", "to", "for", "with"]
 
 
+def bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``.
+
+    Spark substitutes a column into every lambda that names it, which would
+    compute it again per element; the one-element array keeps it bound.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -156,8 +165,7 @@ def keyword_hits(keys: Column, text: Column) -> Column:
         return F.size(F.filter(keys, lambda k: F.when(
             F.regexp_like(k, F.lit("[+#]")), boundary(k)).otherwise(F.array_contains(bag, k))))
 
-    # The one-element array binds the word list once, not once per keyword.
-    return F.element_at(F.transform(F.array(unicode_words(lowered)), count), 1)
+    return bind(unicode_words(lowered), count)
 
 
 def model_tokens(text: Column) -> Column:

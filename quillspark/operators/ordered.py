@@ -75,3 +75,26 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, slice_by: C
         *[F.max(F.when((F.col("_lo") <= F.col(f"_at_{o}")) & (F.col(f"_at_{o}") < F.col("_hi")), F.col(value))).alias(o)
           for o in positions],
     )
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, sums: dict[str, Column],
+            totals: dict[str, Column] | None = None) -> DataFrame:
+    """Running sums per key, current row included, and whole-key sums.
+
+    Only a slice is ever sorted in one task; the sums of earlier slices arrive
+    by a join with the per-slice totals.
+    """
+    totals = totals or {}
+    values = {**sums, **totals}
+    base = df.withColumn("_slice", slice_by).withColumns({f"_v_{n}": v for n, v in values.items()})
+    inner = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = base.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(inner) for n in sums})
+    per_slice = base.groupBy(*keys, "_slice").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_slice.select(
+        *keys, "_slice",
+        *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
+        *[F.sum(f"_s_{n}").over(whole).alias(n) for n in totals])
+    joined = near.join(carried, [*keys, "_slice"])
+    return joined.select(*df.columns, *[(F.col(f"_c_{n}") + F.col(f"_r_{n}")).alias(n) for n in sums], *totals)

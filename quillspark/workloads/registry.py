@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.workloads import retrieval
+from quillspark.workloads import documents, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, documents)
 
 
 def queries() -> dict:
