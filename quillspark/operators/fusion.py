@@ -106,10 +106,6 @@ def expand_simple(queries: DataFrame) -> DataFrame:
     }).drop("_v")
 
 
-def _variant_key() -> Column:
-    return F.struct("query_id", "variant").alias("query_id")
-
-
 def variant_hits(variants: DataFrame, chunks: DataFrame, embedder=None) -> DataFrame:
     """Hits of both searches for every variant, over-fetched by three.
 
@@ -155,36 +151,40 @@ def fuse_variants(hits: DataFrame) -> DataFrame:
     grouped = hits.groupBy("query_id", "scope", "chunk_id").agg(
         vector(0).alias("_v0"), vector(1).alias("_v1"), vector(2).alias("_v2"),
         F.max(F.when(F.col("source") == "bm25", F.col("weighted"))).alias("bm25_score"),
+        F.max(F.when((F.col("source") == "bm25") & (F.col("variant") == 0), F.col("weighted"))).alias("bm25_plain"),
     )
     folded = fold_replace_or_add(fold_replace_or_add(F.col("_v0"), F.col("_v1")), F.col("_v2"))
-    return grouped.select("query_id", "scope", "chunk_id", folded.alias("vector_score"), "bm25_score")
+    return grouped.select("query_id", "scope", "chunk_id", folded.alias("vector_score"), "bm25_score",
+                          F.col("_v0").alias("vector_plain"), "bm25_plain")
 
 
-def rank_fusion(scored: DataFrame, strategy: DataFrame) -> DataFrame:
+def list_rank(score: str) -> Column:
+    """Position of a hit in the list ordered by ``score``; null when it is not in it."""
+    w = Window.partitionBy("query_id", "scope").orderBy(
+        F.desc_nulls_last(F.round(score, lexical.SCORE_PLACES)), F.asc("chunk_id"))
+    return F.when(F.col(score).isNotNull(), F.row_number().over(w))
+
+
+def fusion_ranks(scored: DataFrame, strategy: DataFrame) -> DataFrame:
     """Weighted reciprocal-rank fusion of the two lists of every (query, scope).
 
     ``strategy(query_id, vector_weight, bm25_weight, rrf_k, top_k)``. The
     groups hold at most 3 x 13 hits of each source.
     """
-    keys = ["query_id", "scope"]
-
-    def ranked(score: str) -> Column:
-        w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(F.round(score, lexical.SCORE_PLACES)), F.asc("chunk_id"))
-        return F.when(F.col(score).isNotNull(), F.row_number().over(w))
-
-    ranks = scored.withColumns({"vector_rank": ranked("vector_score"), "bm25_rank": ranked("bm25_score")})
+    ranks = scored.withColumns({"vector_rank": list_rank("vector_score"), "bm25_rank": list_rank("bm25_score")})
     joined = ranks.join(strategy.select("query_id", "vector_weight", "bm25_weight", "rrf_k", "top_k"), "query_id")
     rrf = (
         F.coalesce(F.col("vector_weight") / (F.col("rrf_k") + F.col("vector_rank")), F.lit(0.0))
         + F.coalesce(F.col("bm25_weight") / (F.col("rrf_k") + F.col("bm25_rank")), F.lit(0.0))
     )
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("rrf_score", lexical.SCORE_PLACES)), F.asc("chunk_id"))
-    return (
-        joined.withColumn("rrf_score", rrf)
-        .withColumn("rank", F.row_number().over(w))
-        .where((F.col("rank") <= MAX_TOP_K) & (F.col("rank") <= F.col("top_k")))
-        .select(*keys, "chunk_id", "rank", "rrf_score", "vector_rank", "bm25_rank", "vector_score", "bm25_score")
-    )
+    return joined.withColumn("rrf_score", rrf).withColumn("rank", list_rank("rrf_score"))
+
+
+def rank_fusion(scored: DataFrame, strategy: DataFrame) -> DataFrame:
+    """The fused hits within each query's ``top_k``."""
+    ranked = fusion_ranks(scored, strategy)
+    return ranked.where((F.col("rank") <= MAX_TOP_K) & (F.col("rank") <= F.col("top_k"))).select(
+        "query_id", "scope", "chunk_id", "rank", "rrf_score", "vector_rank", "bm25_rank", "vector_score", "bm25_score")
 
 
 def hybrid(routed: DataFrame, chunks: DataFrame, embedder=None) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.workloads import documents, retrieval
+from quillspark.workloads import activity, documents, evaluation, retrieval
 
-MODULES = (retrieval, documents)
+MODULES = (retrieval, documents, activity, evaluation)
 
 
 def queries() -> dict:
