@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.workloads import activity, documents, evaluation, retrieval
+from quillspark.workloads import activity, documents, evaluation, knowledge, retrieval
 
-MODULES = (retrieval, documents, activity, evaluation)
+MODULES = (retrieval, documents, activity, evaluation, knowledge)
 
 
 def queries() -> dict:
