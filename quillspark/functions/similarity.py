@@ -23,8 +23,18 @@ def sequence_ratio(floor: float = 0.0):
 
     @F.arrow_udf("double")
     def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
-        pairs = zip(a.to_pylist(), b.to_pylist())
-        return pa.array([ratio_at_least(x or "", y or "", floor) for x, y in pairs], pa.float64())
+        firsts, seconds = a.to_pylist(), b.to_pylist()
+        out = np.zeros(len(firsts))
+        matcher = SequenceMatcher()
+        # The matcher indexes its second text, so pairs are taken by it.
+        for i in sorted(range(len(seconds)), key=lambda j: seconds[j] or ""):
+            if matcher.b != (seconds[i] or ""):
+                matcher.set_seq2(seconds[i] or "")
+            matcher.set_seq1(firsts[i] or "")
+            if matcher.real_quick_ratio() >= floor and matcher.quick_ratio() >= floor:
+                found = matcher.ratio()
+                out[i] = found if found >= floor else 0.0
+        return pa.array(out)
 
     return ratio
 

@@ -68,8 +68,7 @@ def recover_one(text: str | None) -> str | None:
     return None
 
 
-@F.arrow_udf("string")
-def recover_json(texts: pa.Array) -> pa.Array:
+def recover_batch(texts: pa.Array) -> pa.Array:
     return pa.array([recover_one(t) for t in texts.to_pylist()], pa.string())
 
 
@@ -82,7 +81,7 @@ def parse_json(responses: DataFrame, text: str = "response") -> DataFrame:
     cleaned = responses.withColumn("_c", tx.strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?is)<think>.*?</think>", "")))
     native = cleaned.withColumn("_ok", F.try_parse_json("_c").isNotNull() & (F.col("_c") != ""))
     direct = native.where("_ok").withColumns({"json": F.col("_c"), "recovered": F.lit("direct")})
-    rest = native.where("not _ok").withColumn("json", recover_json("_c"))
+    rest = native.where("not _ok").withColumn("json", F.arrow_udf(recover_batch, "string")("_c"))
     rest = rest.withColumn("recovered", F.when(F.col("json").isNull(), "failed").otherwise("extracted"))
     return direct.unionByName(rest).drop("_c", "_ok")
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillspark.functions import scoring as sc, text as tx
 from quillspark.functions.vectors import hashing_embedder
 from quillspark.operators import diversity, fusion, lexical
+from quillspark.plans.lineage import cut
 
 FALLBACK = (
     "The information requested could not be reliably found in the uploaded document. "
@@ -39,15 +40,16 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFr
     return result_rows(with_text(hits, chunks), F.col("score"), "rank")
 
 
-def hybrid_search(routed: DataFrame, chunks: DataFrame, limit: int = 10) -> DataFrame:
-    hits = with_vectors(with_text(fusion.hybrid(routed, chunks), chunks))
+def hybrid_search(routed: DataFrame, chunks: DataFrame, limit: int = 10, fused: DataFrame | None = None) -> DataFrame:
+    hits = with_vectors(with_text(fused if fused is not None else fusion.hybrid(routed, chunks), chunks))
     kept = diversity.mmr(hits, ["query_id", "scope"], limit)
     return result_rows(kept, F.col("rrf_score"), "mmr_rank")
 
 
-def ai_context(routed: DataFrame, chunks: DataFrame, limit: int = 7, max_tokens: int = 1500) -> DataFrame:
+def ai_context(routed: DataFrame, chunks: DataFrame, limit: int = 7, max_tokens: int = 1500,
+               fused: DataFrame | None = None) -> DataFrame:
     """Reranked, diversified and budgeted context of every (query, scope)."""
-    fused = fusion.hybrid(routed, chunks)
+    fused = fused if fused is not None else cut(fusion.hybrid(routed, chunks))
     asked = routed.where("needs_rerank")
     sure = fused.join(routed.where("not needs_rerank").select("query_id"), "query_id", "left_semi")
     unsure = fusion.rerank(fused.join(asked.select("query_id"), "query_id", "left_semi"), asked, chunks)
@@ -72,7 +74,7 @@ def confidence_per_group(context: DataFrame, keys: list[str], factor: Column | N
 
 def ai_search(routed: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row per (query, scope): context, citations, confidence, fallback."""
-    context = ai_context(routed, chunks)
+    context = cut(ai_context(routed, chunks))
     keys = ["query_id", "scope"]
     judged = confidence_per_group(context, keys)
     texts = diversity.assemble_context(context, keys)
@@ -108,8 +110,12 @@ def search(requests: DataFrame, chunks: DataFrame, corrections: DataFrame | None
 
     keyword = routed.where("mode = 'keyword'").select("query_id", F.col("effective_query").alias("query"))
     out = keyword_search(keyword, chunks).withColumn("mode", F.lit("keyword"))
-    out = out.unionByName(hybrid_search(routed.where("mode = 'hybrid'"), chunks).withColumn("mode", F.lit("hybrid")))
-    context = ai_context(routed.where("mode = 'ai'"), chunks)
+    both = routed.where("mode in ('hybrid', 'ai')")
+    fused = cut(fusion.hybrid(both, chunks))
+    plain = fused.join(routed.where("mode = 'hybrid'").select("query_id"), "query_id", "left_semi")
+    out = out.unionByName(hybrid_search(routed, chunks, fused=plain).withColumn("mode", F.lit("hybrid")))
+    answered = routed.where("mode = 'ai'")
+    context = ai_context(answered, chunks, fused=fused.join(answered.select("query_id"), "query_id", "left_semi"))
     ai = result_rows(context, F.col("rrf_score"), "context_rank").withColumn("mode", F.lit("ai"))
     return out.unionByName(ai)
 

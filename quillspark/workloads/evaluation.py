@@ -10,6 +10,7 @@ from quillspark.operators import dense, evaluation as ev, quality
 from quillspark.operators.lexical import bm25_top
 from quillspark.operators.ordered import order_statistics
 from quillspark.plans import search
+from quillspark.plans.lineage import cut
 from quillspark.workloads import sql
 from quillspark.workloads.documents import GROUPS_SQL, QUALITY_SQL, document_chunks, positioned_chunks
 from quillspark.workloads.retrieval import FIXED_ROUTE_SQL, VECTOR_SQL, fixed_route, label_centroids, vector_corpus
@@ -29,19 +30,23 @@ def bound(name: str, oracle: str | None = None):
 
 
 def gold(spark, sf_dir) -> DataFrame:
-    return ev.passage_gold(queries(spark, sf_dir), chunks_whole(spark, sf_dir))
+    return cut(ev.passage_gold(queries(spark, sf_dir), chunks_whole(spark, sf_dir)))
 
 
 def results(spark, sf_dir) -> DataFrame:
-    return ev.system_results(fixed_route(spark, sf_dir), chunks_whole(spark, sf_dir), 5)
+    """The few hits of every system, written once: every report reads them several times."""
+    return cut(ev.system_results(fixed_route(spark, sf_dir), chunks_whole(spark, sf_dir), 5))
 
 
-def reranked(spark, sf_dir) -> DataFrame:
-    return ev.with_reranked(results(spark, sf_dir), queries(spark, sf_dir), chunks_whole(spark, sf_dir))
+def reranked(spark, sf_dir, res: DataFrame | None = None) -> DataFrame:
+    res = res if res is not None else results(spark, sf_dir)
+    return cut(ev.with_reranked(res, queries(spark, sf_dir), chunks_whole(spark, sf_dir)))
 
 
-def metrics(spark, sf_dir) -> DataFrame:
-    return ev.query_metrics(results(spark, sf_dir), gold(spark, sf_dir), queries(spark, sf_dir), SYSTEMS)
+def metrics(spark, sf_dir, res: DataFrame | None = None, labelled: DataFrame | None = None) -> DataFrame:
+    res = res if res is not None else results(spark, sf_dir)
+    labelled = labelled if labelled is not None else gold(spark, sf_dir)
+    return ev.query_metrics(res, labelled, queries(spark, sf_dir), SYSTEMS)
 
 
 def kind():
@@ -115,7 +120,7 @@ select *, round((hybrid_recall5 - vector_recall5) / greatest(vector_recall5, 0.0
 def ablation_with_pseudo_gold(spark, sf_dir):
     """Three systems with unlabelled queries judged by the fused list itself, kept apart."""
     res = reranked(spark, sf_dir)
-    labelled = ev.pseudo_gold(gold(spark, sf_dir), res)
+    labelled = cut(ev.pseudo_gold(gold(spark, sf_dir), res))
     names = ["vector", "hybrid", "reranked"]
     per_query = ev.query_metrics(res, labelled, queries(spark, sf_dir), names).join(
         labelled.select("query_id", "circular").distinct(), "query_id")
@@ -361,8 +366,8 @@ def sampled_runs(spark, sf_dir):
     return ev.sampled_runs(queries(spark, sf_dir))
 
 
-def run_metrics(spark, sf_dir) -> DataFrame:
-    per_query = metrics(spark, sf_dir).where("n_gold > 0")
+def run_metrics(spark, sf_dir, res: DataFrame | None = None, labelled: DataFrame | None = None) -> DataFrame:
+    per_query = metrics(spark, sf_dir, res, labelled).where("n_gold > 0")
     return ev.sampled_runs(queries(spark, sf_dir)).join(per_query, "query_id").groupBy("run", "system").agg(
         F.avg("recall5").alias("recall5"), F.avg("mrr").alias("mrr"))
 
@@ -390,13 +395,13 @@ select *, case when hybrid_gt_baseline and reranked_gte_hybrid and high_conf_acc
     then 'VALIDATED' else 'NEEDS_IMPROVEMENT' end as verdict from k""")
 def acceptance_gate(spark, sf_dir):
     """Four aggregates as named figures, folded into one row of criteria."""
-    res = reranked(spark, sf_dir)
-    per_query = ev.query_metrics(res, gold(spark, sf_dir), queries(spark, sf_dir), [*SYSTEMS, "reranked"]).where("n_gold > 0")
+    base, labelled = results(spark, sf_dir), gold(spark, sf_dir)
+    per_query = ev.query_metrics(reranked(spark, sf_dir, base), labelled, queries(spark, sf_dir), [*SYSTEMS, "reranked"]).where("n_gold > 0")
     recall = per_query.groupBy("system").agg(F.round(F.avg("recall5"), 6).alias("v")).select(F.col("system").alias("name"), "v")
     high = ev.calibration_factor(predictions(spark, sf_dir)).select(F.lit("high").alias("name"), F.col("high_accuracy").alias("v"))
     checked = quality.checks(positioned_chunks(spark, sf_dir)).agg(F.avg(F.col("valid").cast("int")).alias("v")).select(
         F.lit("quality").alias("name"), "v")
-    stable = ev.stability(run_metrics(spark, sf_dir)).where("system = 'hybrid'").select(
+    stable = ev.stability(run_metrics(spark, sf_dir, base, labelled)).where("system = 'hybrid'").select(
         F.lit("stable").alias("name"), F.col("stable").cast("double").alias("v"))
     figures = recall.unionByName(high).unionByName(checked).unionByName(stable)
 
@@ -421,14 +426,14 @@ union all select 'stability_std.' || system, recall_std from stab
 union all select 'not_found_accuracy', round(avg((round(coalesce(tv, 0), 6) < 0.25 or round(coalesce(th, 0), 6) < 0.02)::int), 4) from tops""")
 def audit_figures(spark, sf_dir):
     """Chunk profile, ablation, stability and refusals as one list of figures."""
-    chunks = document_chunks(spark, sf_dir).where("kept")
+    chunks = document_chunks(spark, sf_dir).where("kept").select("type", "word_count")
     res, labelled = results(spark, sf_dir), gold(spark, sf_dir)
-    means = ev.ablation(metrics(spark, sf_dir).where("n_gold > 0"))
+    means = ev.ablation(metrics(spark, sf_dir, res, labelled).where("n_gold > 0"))
     out = chunks.groupBy(F.concat(F.lit("chunks."), "type").alias("figure")).agg(F.count("*").cast("double").alias("value"))
     out = out.unionByName(chunks.agg(F.round(F.avg("word_count"), 1).alias("value")).withColumn("figure", F.lit("avg_words")))
     for name in ("recall5", "mrr"):
         out = out.unionByName(means.select(F.concat(F.lit(name + "."), "system").alias("figure"), F.col(name).alias("value")))
-    out = out.unionByName(ev.stability(run_metrics(spark, sf_dir)).select(
+    out = out.unionByName(ev.stability(run_metrics(spark, sf_dir, res, labelled)).select(
         F.concat(F.lit("stability_std."), "system").alias("figure"), F.col("recall_std").alias("value")))
     outside = queries(spark, sf_dir).select("query_id").join(labelled, "query_id", "left_anti").join(ev.trust(res), "query_id", "left").fillna(
         0.0, ["top_vector", "top_rrf"])

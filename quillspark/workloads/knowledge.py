@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillspark.functions import labels as lb, text as tx
 from quillspark.operators import catalog, chunking, hierarchy, lexical, quiz, responses, subjects, suggest
+from quillspark.plans.lineage import cut
 from quillspark.workloads import sql
 from quillspark.workloads.documents import WINDOWS_SQL, document_sections, documents
 from quillspark.workloads.tables import chunks_by_source, queries, read
@@ -35,6 +36,11 @@ def conversation_sections(spark, sf_dir) -> DataFrame:
         (turn + 1).cast("int").alias("page"))
 
 
+def conversation_nodes(spark, sf_dir) -> DataFrame:
+    """The stored node table the readers below share."""
+    return cut(hierarchy.course_nodes(conversation_sections(spark, sf_dir)))
+
+
 SECTIONS_SQL = f"""s as (select conv_id as doc_id, turn + 1 as section_ord,
     case role when 'system' then 'h1' when 'user' then 'h2' else 'h3' end as level,
     upper(role[1]) || role[2:] || ' part ' || (turn // 2) as title,
@@ -81,7 +87,7 @@ def course_nodes(spark, sf_dir):
 @bound("readable_tree", f"""with {NODES_SQL} select doc_id, node_id, row_number() over (partition by doc_id, coalesce(parent_id, '') order by sort_order) as child_ord,
     coalesce(content, '') <> '' as has_content, length(substr(coalesce(content, ''), 1, 12000))::int as shown_chars from nodes""")
 def readable_tree(spark, sf_dir):
-    tree = hierarchy.readable_tree(hierarchy.course_nodes(conversation_sections(spark, sf_dir)))
+    tree = hierarchy.readable_tree(conversation_nodes(spark, sf_dir))
     return tree.select("doc_id", "node_id", "child_ord", "has_content", F.length("content").alias("shown_chars"))
 
 
@@ -92,7 +98,7 @@ PATHS_SQL = """paths as (select a.doc_id, a.title, max_by(concat_ws(' > ', d.tit
 
 @bound("breadcrumbs", f"with {NODES_SQL}, {PATHS_SQL} select doc_id, title, path from paths")
 def breadcrumbs(spark, sf_dir):
-    return hierarchy.breadcrumbs(hierarchy.course_nodes(conversation_sections(spark, sf_dir)))
+    return hierarchy.breadcrumbs(conversation_nodes(spark, sf_dir))
 
 
 def conversation_hits(spark, sf_dir) -> DataFrame:
@@ -114,7 +120,7 @@ f as (select tr.doc_id, tr.chunk_id, arg_min(subs.node_id, (t, (title <> want)::
 @bound("located_chunks", f"""with {NODES_SQL}, {HITS_SQL} select doc_id, chunk_id, section, coalesce(f.node_id, '') as node_id, coalesce(ntitle, section || ' Details') as node_title
 from h left join f using (doc_id, chunk_id)""")
 def located_chunks(spark, sf_dir):
-    nodes = hierarchy.course_nodes(conversation_sections(spark, sf_dir))
+    nodes = conversation_nodes(spark, sf_dir)
     return hierarchy.locate_nodes(conversation_hits(spark, sf_dir), nodes).select("doc_id", "chunk_id", "section", "node_id", "node_title")
 
 
@@ -123,7 +129,7 @@ r as (select h.*, coalesce(f.node_id, '') as node_id, coalesce(ntitle, section |
 select r.doc_id, r.chunk_id, r.node_id, coalesce(a.path, b.path, r.section) as section_path, r.node_title as title, 'conv-' || r.doc_id as filename
 from r left join paths a on a.doc_id = r.doc_id and a.title = r.node_title left join paths b on b.doc_id = r.doc_id and b.title = r.section""")
 def decorated_hits(spark, sf_dir):
-    nodes = hierarchy.course_nodes(conversation_sections(spark, sf_dir))
+    nodes = conversation_nodes(spark, sf_dir)
     titles = read(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("doc_id"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("filename")).distinct()
     return hierarchy.decorate_hits(conversation_hits(spark, sf_dir), nodes, titles).select(
@@ -132,7 +138,7 @@ def decorated_hits(spark, sf_dir):
 
 @bound("node_chunks", f"""with {NODES_SQL}, {HITS_SQL} select f.node_id, count(*) as chunks from f group by f.node_id""")
 def node_chunks(spark, sf_dir):
-    nodes = hierarchy.course_nodes(conversation_sections(spark, sf_dir))
+    nodes = conversation_nodes(spark, sf_dir)
     located = hierarchy.locate_nodes(conversation_hits(spark, sf_dir), nodes).where("node_id <> ''")
     return located.groupBy("node_id").agg(F.count("*").alias("chunks"))
 
@@ -151,7 +157,7 @@ def fallback_tree(spark, sf_dir):
 @bound("library_tree", f"""with {NODES_SQL} select 'General Studies' as subject, doc_id, doc_id::varchar as document_title, node_id, parent_id, title, level, page, sort_order,
     coalesce(content, '') <> '' as has_content from nodes where level <> 'subject'""")
 def library_tree(spark, sf_dir):
-    nodes = hierarchy.course_nodes(conversation_sections(spark, sf_dir))
+    nodes = conversation_nodes(spark, sf_dir)
     titles = nodes.select("doc_id").distinct().withColumn("filename", F.lit(""))
     return hierarchy.library_tree(nodes, titles)
 
