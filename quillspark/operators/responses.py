@@ -24,7 +24,7 @@ def parse_score(text: Column) -> Column:
     plain = F.regexp_like(F.regexp_replace(t, "[.-]", ""), F.lit("^[0-9]+$"))
     found = F.regexp_extract(t, r"\b(\d+\.?\d*)\b", 1)
     number = F.when(plain, t.try_cast("double")).when(found != "", found.try_cast("double"))
-    return F.coalesce(F.least(F.greatest(number, F.lit(0.0)), F.lit(10.0)), F.lit(5.0))
+    return F.when(number.isNull(), 5.0).otherwise(F.least(F.greatest(number, F.lit(0.0)), F.lit(10.0)))
 
 
 def _last_object(text: str) -> str | None:
