@@ -11,6 +11,8 @@ K1, B = 1.5, 0.75
 # Scores are compared after rounding, so equal texts tie whatever order their
 # terms were summed in, and the id decides.
 SCORE_PLACES = 8
+# Up to this many rows (some 60 bytes each) the query side is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def chunk_stats(chunks: DataFrame, legacy: bool = False) -> DataFrame:
@@ -29,10 +31,15 @@ def postings(chunks: DataFrame, only_terms: DataFrame | None = None, legacy: boo
     With ``only_terms`` every other term is dropped before the counting
     shuffle: a search shuffles the matches of its queries, not the corpus.
     """
-    listed = chunks.select("scope", "chunk_id", tx.tokenize(F.col("text"), legacy).alias("_terms"))
-    exploded = listed.select("scope", "chunk_id", F.size("_terms").alias("dl"), F.explode("_terms").alias("term"))
+    # The terms are bound, so a text is tokenised once for its length and its terms.
+    counted = tx.bind(tx.tokenize(F.col("text"), legacy), lambda ts: F.transform(
+        ts, lambda t: F.struct(t.alias("term"), F.size(ts).alias("dl"))))
+    exploded = chunks.select("scope", "chunk_id", F.explode(counted).alias("_t")).select(
+        "scope", "chunk_id", "_t.dl", "_t.term")
     if only_terms is not None:
-        exploded = exploded.join(only_terms, "term", "left_semi")
+        # One shuffle places a chunk's terms together, and every later grouping
+        # by chunk happens where they are.
+        exploded = exploded.join(only_terms, "term", "left_semi").repartition("scope", "chunk_id")
     return exploded.groupBy("scope", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -54,12 +61,20 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 
 def bm25_scores(terms: DataFrame, posts: DataFrame, dfs: DataFrame, scopes: DataFrame,
-                k1: float = K1, b: float = B) -> DataFrame:
-    """``query_id, scope, chunk_id, score`` for every chunk sharing a term."""
+                k1: float = K1, b: float = B, small: bool = False) -> DataFrame:
+    """``query_id, scope, chunk_id, score`` for every chunk sharing a term.
+
+    ``small`` says that the query terms and their per-scope weights were
+    counted and fit a broadcast. Postings then keep their placement by chunk
+    and the many (query, term) rows of a chunk are summed without a shuffle;
+    otherwise the joins shuffle by term.
+    """
     weights = (
         dfs.join(scopes, "scope")
         .select("scope", "term", "avg_dl", idf(F.col("n_docs"), F.col("df")).alias("_idf"))
     )
+    if small:
+        weights, terms = F.broadcast(weights), F.broadcast(terms)
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("_idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / F.col("avg_dl")))
     weighted = posts.join(weights, ["scope", "term"]).select("scope", "chunk_id", "term", part.alias("_part"))
@@ -73,8 +88,12 @@ def bm25_scores(terms: DataFrame, posts: DataFrame, dfs: DataFrame, scopes: Data
 
 def bm25_all(queries: DataFrame, chunks: DataFrame, legacy: bool = False) -> DataFrame:
     terms = query_terms(queries, legacy)
-    posts = postings(chunks, terms.select("term").distinct(), legacy)
-    return bm25_scores(terms, posts, term_stats(posts), scope_stats(chunk_stats(chunks, legacy)))
+    distinct = terms.select("term").distinct()
+    sizes = terms.agg(F.count("*").alias("rows"), F.countDistinct("term").alias("terms")).first()
+    n_scopes = chunks.select("scope").distinct().count()
+    small = max(sizes["rows"], sizes["terms"] * n_scopes) <= BROADCAST_ROWS
+    posts = postings(chunks, distinct, legacy)
+    return bm25_scores(terms, posts, term_stats(posts), scope_stats(chunk_stats(chunks, legacy)), small=small)
 
 
 def bm25_top(queries: DataFrame, chunks: DataFrame, k: int = 10, legacy: bool = False) -> DataFrame:
