@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import bpe
+from quillspark.llm import bpe, language, line_rules
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -21,5 +21,26 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe}
+def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts = line_rules.measure(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash")), ["doc_id", "source", "text_hash"])
+    lost = line_rules.depletion(docs)
+    joined = counts.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_host"))
+                         & (F.col("text_hash") == F.col("_text")), "left")
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return joined.select("doc_id", *line_rules.COUNTS, failed.alias("base_failed"),
+                         (~failed & (F.coalesce("left", F.lit(1.0)) >= line_rules.MIN_LEFT)).alias("kept"))
+
+
+def op9_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = language.classify(docs, language.learn(docs), ["doc_id"])
+    return judged.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {
+    "op4_byte_bpe": op4_byte_bpe,
+    "op6_line_frequency": op6_line_frequency,
+    "op9_compression_language": op9_compression_language,
+}
 ORACLES: dict[str, str] = {}
