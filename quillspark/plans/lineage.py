@@ -1,4 +1,4 @@
-"""Cutting the plan where a small result feeds several branches."""
+"""Cutting the plan where a result feeds several branches."""
 
 from __future__ import annotations
 
@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Write an intermediate result once and go on from the files.
 
-    Uses the checkpoint folder the session names; lost executors read it again
-    from there. Without one, a local session gets a folder of its own and a
-    cluster session keeps the plan whole.
+    The files go to the shared folder that the session names in
+    ``spark.checkpoint.dir``, so lost executors read them again from there. A
+    local session without one gets a folder of its own, as in tests; on a
+    cluster a missing folder is an error, because no folder of one machine would do.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            if context.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
