@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import bpe, language, line_rules
+from quillspark.llm import bpe, language, line_rules, merkle, mixing
+from quillspark.plans.lineage import cut
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -38,9 +39,57 @@ def op9_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes of 256 pages against a replica in which Spark changed some records and lost others."""
+    pages = table(spark, sf_dir, "pages")
+    lot = F.pmod("page_id", F.lit(997))
+    body = F.coalesce("html", F.lit(""))
+    good, bad = merkle.record(F.col("url"), body), merkle.record(F.col("url"), F.concat(body, F.lit(" ")))
+    hashed = pages.select("page_id", F.floor(F.col("page_id") / 256).alias("volume"), F.octet_length(good).alias("size"), merkle.digest(good).alias("left_digest"),
+                          F.when(lot == 5, merkle.digest(bad)).otherwise(merkle.digest(good)).alias("right_digest"), (lot != 6).alias("kept"))
+    placed = cut(merkle.offsets(hashed, "volume", ["page_id", "left_digest"], "size"))
+    found, roots = merkle.audit(merkle.entries(placed, hashed="left_digest"), merkle.entries(placed.where(F.coalesce("kept", F.lit(True))), hashed="right_digest"))
+    listed = found.groupBy("volume").agg(
+        F.sum((F.col("state") == "changed").cast("long")).alias("n_changed"), F.sum((F.col("state") == "missing").cast("long")).alias("n_missing"),
+        F.array_join(F.transform(F.sort_array(F.collect_list("start")), lambda x: x.cast("string")), ",").alias("damaged"))
+    return roots.join(listed, ["volume"], "left").select(
+        "volume", "left_root", "right_root", F.col("left_root").eqNullSafe(F.col("right_root")).alias("intact"),
+        F.coalesce("n_changed", F.lit(0)).alias("n_changed"), F.coalesce("n_missing", F.lit(0)).alias("n_missing"), F.coalesce("damaged", F.lit("")).alias("damaged"))
+
+
+OP7_SQL = """
+with good as (select page_id, page_id // 256 as volume, coalesce(html, '') as body, coalesce(url, '') as url from pages),
+rec as (select page_id, volume, 'WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ' || url || '\r\nContent-Length: ' as head, body from good),
+full_rec as (select page_id, volume, replace(head, '\r\n', chr(13) || chr(10)) || strlen(body) || repeat(chr(13) || chr(10), 2) || body || repeat(chr(13) || chr(10), 2) as a,
+  replace(head, '\r\n', chr(13) || chr(10)) || (strlen(body) + 1) || repeat(chr(13) || chr(10), 2) || body || ' ' || repeat(chr(13) || chr(10), 2) as b from rec),
+placed as (select page_id, volume, sha256(a) as a, case when page_id % 997 = 5 then sha256(b) else sha256(a) end as b,
+  coalesce(sum(strlen(a)) over (partition by volume order by page_id rows between unbounded preceding and 1 preceding), 0)::bigint as start from full_rec),
+both_sides as (select 'l' as side, volume, start as place, a || 'x1' as hash from placed
+  union all select 'r', volume, start, b || 'x1' from placed where page_id % 997 <> 6),
+h0 as (select side, volume, place // 65536 as place, sha256(string_agg(volume || ':' || place || ':' || hash, ',' order by place)) as hash from both_sides group by 1, 2, 3),
+h1 as (select side, volume, place // 16 as place, sha256(string_agg(volume || ':' || place || ':' || hash, ',' order by place)) as hash from h0 group by 1, 2, 3),
+h2 as (select side, volume, place // 16 as place, sha256(string_agg(volume || ':' || place || ':' || hash, ',' order by place)) as hash from h1 group by 1, 2, 3),
+h3 as (select side, volume, sha256(string_agg(volume || ':' || place || ':' || hash, ',' order by place)) as hash from h2 group by 1, 2),
+roots as (select volume, max(hash) filter (side = 'l') as left_root, max(hash) filter (side = 'r') as right_root from h3 group by 1),
+bad as (select volume, count(*) filter (page_id % 997 = 5) as n_changed, count(*) filter (page_id % 997 = 6) as n_missing,
+  string_agg(start::varchar, ',' order by start) as damaged from placed where page_id % 997 in (5, 6) group by 1)
+select volume, left_root, right_root, left_root is not distinct from right_root as intact, coalesce(n_changed, 0) as n_changed,
+  coalesce(n_missing, 0) as n_missing, coalesce(damaged, '') as damaged from roots left join bad using (volume)
+"""
+
+
+def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("chars"), "text")
+    shares = mixing.tempered_units(mixing.sizes(docs))
+    placed = mixing.place(docs.select("doc_id", "source", "chars"), shares)
+    return placed.select("row.doc_id", "row.source", "block", "release", "deadline", "slot", "turn")
+
+
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_line_frequency": op6_line_frequency,
+    "op7_merkle_fixity": op7_merkle_fixity,
     "op9_compression_language": op9_compression_language,
+    "op10_pfair_mix": op10_pfair_mix,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_merkle_fixity": OP7_SQL}
