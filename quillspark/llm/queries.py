@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import bpe, language, line_rules, merkle, mixing
+from quillspark.llm import bpe, language, line_rules, merkle, mixing, ngram_join
 from quillspark.plans.lineage import cut
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.join(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = bpe.serialise_model(bpe.load_ranks(public_tokenizers.path(VOCABULARY)))
     coded = bpe.encode(table(spark, sf_dir, "documents"), model, public_tokenizers.PATTERN, ["doc_id"])
@@ -86,6 +91,7 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ngram_join": op3_ngram_join,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_line_frequency": op6_line_frequency,
     "op7_merkle_fixity": op7_merkle_fixity,
