@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import bpe, language, line_rules, merkle, mixing, ngram_join
+from quillspark.llm import bpe, language, line_rules, merkle, mixing, ngram_join, repeats
 from quillspark.plans.lineage import cut
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.join(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
@@ -91,6 +96,7 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_repeated_bytes": op2_repeated_bytes,
     "op3_ngram_join": op3_ngram_join,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_line_frequency": op6_line_frequency,
