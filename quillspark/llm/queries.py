@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import bpe, language, line_rules, merkle, mixing, ngram_join, repeats
+from quillspark.llm import bpe, language, line_rules, merkle, mixing, ngram_join, repeats, secrets
 from quillspark.plans.lineage import cut
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.learn(docs), ["doc_id"])
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = secrets.listed(F.filter("found", lambda s: s["kind"] != "markov"))
+    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(base, 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"))
+
+
 def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -96,6 +104,7 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_repeated_bytes": op2_repeated_bytes,
     "op3_ngram_join": op3_ngram_join,
     "op4_byte_bpe": op4_byte_bpe,
