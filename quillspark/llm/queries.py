@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import bpe, language, line_rules, merkle, mixing, ngram_join, repeats, secrets
+from quillspark.llm import bpe, language, line_rules, merkle, mixing, ngram_join, repeats, secrets, syncmers
 from quillspark.plans.lineage import cut
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -51,6 +51,20 @@ def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (~failed & (F.coalesce("left", F.lit(1.0)) >= line_rules.MIN_LEFT)).alias("kept"))
 
 
+def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    marked = docs.withColumn("marks", syncmers.anchors(F.col("text"))["hash"])
+    both = syncmers.following(marked, "doc_id", "text", ["text", "marks"])
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
+    both = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "marks", "next_marks", edited.alias("edited"))
+    both = both.withColumn("edited_marks", syncmers.anchors(F.col("edited"))["hash"])
+    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), syncmers.fingerprint(F.col("marks")).alias("fingerprint"),
+                       syncmers.fingerprint(F.col("edited_marks")).alias("edited_fingerprint"),
+                       syncmers.likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
+                       syncmers.likeness(F.col("marks"), F.col("next_marks")).alias("near_next"))
+
+
 def op9_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = language.classify(docs, language.learn(docs), ["doc_id"])
@@ -110,6 +124,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_line_frequency": op6_line_frequency,
     "op7_merkle_fixity": op7_merkle_fixity,
+    "op8_closed_syncmers": op8_closed_syncmers,
     "op9_compression_language": op9_compression_language,
     "op10_pfair_mix": op10_pfair_mix,
 }
