@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import bpe, language, line_rules, merkle, mixing, ngram_join, repeats, secrets, syncmers
+from quillspark.llm import bpe, language, line_dedup, line_rules, merkle, mixing, ngram_join, repeats, secrets, syncmers
 from quillspark.plans.lineage import cut
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -40,6 +40,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = line_dedup.verdicts(docs).select(F.col("doc_id").alias("_id"), "text_hash", "lines")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_hash")).join(
+        found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("text_hash")), "left")
+    of = lambda state: F.filter("lines", lambda x: x["state"] == state)
+    count = lambda state: F.coalesce(F.size(of(state)), F.lit(0)).cast("long")
+    kept = F.array_join(F.transform(of("first"), lambda x: x["place"].cast("string")), ",")
+    return rows.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), count("exact").alias("n_exact"),
+                       count("near").alias("n_near"), F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = line_rules.measure(docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash")), ["doc_id", "source", "text_hash"])
@@ -123,6 +135,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_line_frequency": op6_line_frequency,
+    "op5_segment_lines": op5_segment_lines,
     "op7_merkle_fixity": op7_merkle_fixity,
     "op8_closed_syncmers": op8_closed_syncmers,
     "op9_compression_language": op9_compression_language,
