@@ -4,23 +4,30 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write an intermediate result once and go on from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    The files go to the shared folder that the session names in
-    ``spark.checkpoint.dir``, so lost executors read them again from there. A
-    local session without one gets a folder of its own, as in tests; on a
+    A local session without one gets a folder of its own, as in tests; on a
     cluster a missing folder is an error, because no folder of one machine would do.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if context.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once and go on from the files.
+
+    The files are in the shared folder, so lost executors read them again from there.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
