@@ -136,8 +136,9 @@ class Codec:
         return b"".join(map(self.token.__getitem__, array("I", ids)))
 
 
-def encode(docs: DataFrame, model: bytes, pattern: str, keep: Sequence[str], text: str = "text") -> DataFrame:
-    """The kept columns, the packed ``ids`` of each text and the bytes they decode to (``decoded``)."""
+def encode(docs: DataFrame, model: bytes, pattern: str, keep: Sequence[str], text: str = "text",
+           names: tuple[str, str] = ("ids", "decoded")) -> DataFrame:
+    """The kept columns, the packed ids of each text and the bytes they decode to."""
 
     def make():
         codec = Codec(model, pattern)
@@ -148,4 +149,4 @@ def encode(docs: DataFrame, model: bytes, pattern: str, keep: Sequence[str], tex
 
         return work
 
-    return map_texts(docs, keep, make, [("ids", BinaryType()), ("decoded", BinaryType())], text)
+    return map_texts(docs, keep, make, [(n, BinaryType()) for n in names], text)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import bpe, language, line_dedup, line_rules, merkle, mixing, ngram_join, repeats, secrets, syncmers
 from quillspark.plans.lineage import cut
 
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = bpe.serialise_model(bpe.load_ranks(public_tokenizers.path(VOCABULARY)))
+    model = bpe.serialise_model(bpe.load_ranks(public_tokenizers.path(corpus_pipeline.VOCABULARY)))
     coded = bpe.encode(table(spark, sf_dir, "documents"), model, public_tokenizers.PATTERN, ["doc_id"])
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -140,5 +140,6 @@ QUERIES = {
     "op8_closed_syncmers": op8_closed_syncmers,
     "op9_compression_language": op9_compression_language,
     "op10_pfair_mix": op10_pfair_mix,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op7_merkle_fixity": OP7_SQL}
+ORACLES = {"op7_merkle_fixity": OP7_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
