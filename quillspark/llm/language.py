@@ -5,7 +5,8 @@ A text is lower-cased, reduced to its letters and blanks, cut into pieces and
 compressed with every dictionary; the smallest total wins. The margin is the
 share by which the runner-up is larger, and a text whose margin is narrow is
 rejected. Pieces keep a long text from becoming its own dictionary, so margins
-mean the same at every length; all pieces count.
+mean the same at every length; all pieces count. Texts that tie, mostly of a few
+words, are compressed once more with a deeper search.
 
 Learning takes a bounded sample of labelled rows: ``SAMPLE_DOCS`` documents per
 language by the hash of their id, of these ``SAMPLE_LINES`` distinct lines by
@@ -67,25 +68,29 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     return {name: b"".join(found)[:DICTIONARY_BYTES] for name, found in sorted(parts.items())}
 
 
+def _compressors(dictionaries: dict[str, bytes], **search: int) -> dict:
+    settings = zstandard.ZstdCompressionParameters(window_log=16, write_content_size=False, write_checksum=False, write_dict_id=False, **search)
+    return {name: zstandard.ZstdCompressor(
+        dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if content else None,
+        compression_params=settings).compress for name, content in dictionaries.items()}
+
+
 class Classifier:
-    """Compressors of one task."""
+    """Compressors of one task: fast ones, and ones with a deeper search and shorter matches for what they leave tied."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        settings = zstandard.ZstdCompressionParameters(
-            window_log=16, chain_log=14, hash_log=14, search_log=4, min_match=5, strategy=zstandard.STRATEGY_LAZY,
-            write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.compress = {
-            name: zstandard.ZstdCompressor(
-                dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if content else None,
-                compression_params=settings).compress
-            for name, content in dictionaries.items()}
+        self.fast = _compressors(dictionaries, chain_log=14, hash_log=14, search_log=4, min_match=5, strategy=zstandard.STRATEGY_LAZY)
+        self.fine = _compressors(dictionaries, chain_log=16, hash_log=16, search_log=6, min_match=3, strategy=zstandard.STRATEGY_BTLAZY2)
 
     def judge(self, text: str | None) -> tuple[str, float]:
         content = letters(text)
-        if not content or not self.compress:
+        if not content or not self.fast:
             return UNKNOWN, 0.0
         pieces = [content[i:i + PIECE_BYTES] for i in range(0, len(content), PIECE_BYTES)]
-        sizes = sorted((sum(len(compress(p)) for p in pieces), name) for name, compress in self.compress.items())
+        for compressors in (self.fast, self.fine):
+            sizes = sorted((sum(len(compress(p)) for p in pieces), name) for name, compress in compressors.items())
+            if len(sizes) == 1 or sizes[0][0] < sizes[1][0]:
+                break
         return sizes[0][1], 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
 
 
