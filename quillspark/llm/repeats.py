@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.rolling import Rolling, mixed
+from quillspark.llm.rolling import Rolling, blocks, mixed
 
 LENGTH = 200
 GRAM = 100
@@ -61,28 +61,51 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:len(values) - (width - step)], values[width - step:]) if step < width else values
 
 
-def picked(data: np.ndarray, limits: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def picked(data: np.ndarray, limits: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Gram hash, span hash, first and last window start of every picked suffix."""
+    found = [_picked(data[limits[a]:limits[b]], limits[a:b + 1] - limits[a], limits[a], length, gram) for a, b in blocks(np.diff(limits).tolist())]
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else _NONE
+
+
+_NONE = (*[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 2)
+
+
+def _picked(data: np.ndarray, limits: np.ndarray, offset: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
     if len(data) < length:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return _NONE
     sums = _HASH.sums(data)
     hashes = mixed(_HASH.windows(sums, gram))
     low = np.uint64((1 << len(data).bit_length()) - 1)
     # Hash above, place below: ties go to the first place in either copy.
     choice = _least((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1) & low
-    inside = np.zeros(len(choice) + 1, np.int64)
+    inside = np.zeros(len(choice) + 1, np.int32)
     first, last = limits[:-1], limits[1:] - length + 1
     np.add.at(inside, first[last > first], 1)
     np.add.at(inside, last[last > first], -1)
-    inside = np.cumsum(inside[:-1]) > 0
+    inside = np.cumsum(inside[:-1], dtype=np.int32) > 0
     new = np.ones(len(choice), bool)
     new[1:] = (choice[1:] != choice[:-1]) | (inside[1:] != inside[:-1])
     new[first[first < len(new)]] = True
     bounds = np.append(np.flatnonzero(new), len(choice))
     runs = inside[bounds[:-1]]
-    low_start, high_start = bounds[:-1][runs], bounds[1:][runs] - 1
-    return hashes[choice[low_start].astype(np.int64)], _HASH.spans(sums, low_start, high_start + length), low_start, high_start
+    start, end = bounds[:-1][runs], bounds[1:][runs] - 1
+    return hashes[choice[start].astype(np.int64)], _HASH.spans(sums, start, end + length), start + offset, end + offset
+
+
+def identified(data: np.ndarray, limits: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Every window start of the given runs with the identifiers of its first and its last ``GRAM`` bytes."""
+    out, half, sizes = [], GRAM // 2, np.diff(limits).tolist()
+    for a, b in blocks(sizes):
+        offset = limits[a]
+        mine = slice(*np.searchsorted(low, [offset, limits[b]]))
+        widths = high[mine] - low[mine] + 1
+        if not len(widths):
+            continue
+        starts = np.repeat(low[mine] - offset - np.cumsum(widths) + widths, widths) + np.arange(widths.sum())
+        halves = _HASH.windows(_HASH.sums(data[offset:limits[b]]), half)
+        grams = mixed(halves[:-half] * np.uint64(0x9E3779B97F4A7C15) + halves[half:])
+        out.append((starts + offset, grams[starts], grams[starts + LENGTH - GRAM]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _by_range(hashes: np.ndarray, parts: int):
@@ -163,13 +186,8 @@ def _show(parts: int):
         sure = marks & REPEATED > 0
         rows = [(slab % parts, slab, None, None, low[sure].astype(np.uint32).tobytes(), high[sure].astype(np.uint32).tobytes())]
         shown = marks & SHOWN > 0
-        widths = high[shown] - low[shown] + 1
-        if len(widths):
-            starts = np.repeat(low[shown] - np.cumsum(widths) + widths, widths) + np.arange(widths.sum())
-            half = GRAM // 2
-            halves = _HASH.windows(_HASH.sums(data), half)
-            grams = mixed(halves[:-half] * np.uint64(0x9E3779B97F4A7C15) + halves[half:])
-            one, two = grams[starts], grams[starts + LENGTH - GRAM]
+        if shown.any():
+            starts, one, two = identified(data, limits, low[shown], high[shown])
             rows += [(r, slab, one[i].tobytes(), two[i].tobytes(), starts[i].astype(np.uint32).tobytes(), None) for r, i in _by_range(one, parts)]
         return _rows(rows)
 
@@ -196,7 +214,7 @@ def _remove(texts: pa.Table, found: pa.Table) -> pa.Table:
         stops = np.frombuffer(ends, np.uint32).astype(np.int64) if ends is not None else starts
         np.add.at(edge, starts, 1)
         np.add.at(edge, stops + LENGTH, -1)
-    gone = np.cumsum(edge[:-1]) > 0
+    gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
     kept, removed, spans = [], [], []
     for a, b in zip(limits[:-1].tolist(), limits[1:].tolist()):
         mine = gone[a:b]

@@ -7,6 +7,8 @@ bytes. Values and ratio are fixed random numbers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 
 _MASK = (1 << 64) - 1
@@ -53,3 +55,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
+
+
+def blocks(sizes: Sequence[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about ``limit`` bytes, so that work arrays stay small; a longer text stands alone."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > limit:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from quillspark.llm.rolling import Rolling, mixed
+from quillspark.llm.rolling import Rolling, blocks, mixed
 
 WIDTH = 4
 _WORD = Rolling(3)
@@ -20,6 +20,10 @@ def sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
     with fewer words has its whole sequence as one shingle, without words none.
     """
     parts = [(t or "").encode("utf-8").lower() for t in texts]
+    return [found for a, b in blocks([len(p) for p in parts]) for found in _sets(parts[a:b], width)]
+
+
+def _sets(parts: list[bytes], width: int) -> list[np.ndarray]:
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     space = _SPACE[data]
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
