@@ -18,27 +18,21 @@ DROPPED = "".join(chr(c) for c in range(0x21, 0x250)
                   if not (chr(c).isdigit() and c < 0x80) and not "a" <= chr(c) <= "z" and chr(c) not in BREAKS)
 
 # Stop words of the keyword index.
-STOP_WORDS = (
-    "a an the is are was were be been being "
-    "have has had do does did will would could "
-    "should may might shall can need must "
-    "in on at to for of with by from as "
-    "into through during before after above below "
-    "and but or nor not so yet both either "
-    "this that these those it its "
-    "i me my we our you your he she they "
-    "what which who whom how when where why "
-    "if then than also just very too more "
-    "each every all any some no only"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "shall", "can", "need", "must", "in", "on", "at", "to", "for",
+    "of", "with", "by", "from", "as", "into", "through", "during", "before", "after", "above", "below", "and", "but",
+    "or", "nor", "not", "so", "yet", "both", "either", "this", "that", "these", "those", "it", "its", "i", "me", "my",
+    "we", "our", "you", "your", "he", "she", "they", "what", "which", "who", "whom", "how", "when", "where", "why",
+    "if", "then", "than", "also", "just", "very", "too", "more", "each", "every", "all", "any", "some", "no", "only",
+]
 
 # Words ignored when a question is reduced to keywords.
-NOISE_WORDS = (
-    "a an the is are am was were be being been "
-    "what who when where why how please explain define "
-    "of for to in on at with about from by "
-    "this that it"
-).split()
+NOISE_WORDS = [
+    "a", "an", "the", "is", "are", "am", "was", "were", "be", "being", "been", "what", "who", "when", "where", "why",
+    "how", "please", "explain", "define", "of", "for", "to", "in", "on", "at", "with", "about", "from", "by", "this",
+    "that", "it",
+]
 
 # Phrases that mark a chunk as able to answer a question.
 ANSWER_PHRASES = [
@@ -57,6 +51,11 @@ DANGLING_WORDS = ["and", "or", "but", "the", "a", "an", "of", "in", "to", "for",
 QUALITY_DANGLING_WORDS = ["and", "or", "but", "the", "a", "an", "of", "in", "to", "for", "with"]
 
 
+def head(text: Column, chars: int | None) -> Column:
+    """The first characters of a text; all of it without a number."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
 def bind(value: Column, use) -> Column:
     """Evaluate ``value`` once and hand it to ``use``.
 
@@ -112,10 +111,10 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
-def sanitize_query(text: Column, cap: int = 500) -> Column:
-    """Trim, cap the length and drop a word equal to one of the last three kept."""
+def sanitize_query(text: Column, cap: int | None = None) -> Column:
+    """Trim, cut at ``cap`` characters if given, and drop a word equal to one of the last three kept."""
     kept = F.aggregate(
-        words(F.substring(strip(text), 1, cap)),
+        words(head(strip(text), cap)),
         F.expr("cast(array() as array<string>)"),
         lambda acc, w: F.when(
             F.exists(F.slice(acc, F.greatest(F.size(acc) - 2, F.lit(1)), 3),
@@ -132,12 +131,12 @@ def keywords(text: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(NOISE_WORDS))
 
 
-def normalize_query(text: Column) -> Column:
-    """Lower-cased question followed by its first eight keywords."""
+def normalize_query(text: Column, most: int | None = None) -> Column:
+    """Lower-cased question followed by its keywords, the first ``most`` of them if given."""
     cleaned = sanitize_query(text)
     lowered = F.lower(cleaned)
     keys = keywords(lowered)
-    bag = F.concat(lowered, F.lit(" | keywords: "), F.array_join(F.slice(keys, 1, 8), " "))
+    bag = F.concat(lowered, F.lit(" | keywords: "), F.array_join(keys if most is None else F.slice(keys, 1, most), " "))
     return F.when(F.size(keys) > 0, bag).otherwise(lowered)
 
 

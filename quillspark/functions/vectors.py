@@ -76,13 +76,18 @@ def hashing_embedder(dims: int = DIMS):
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
-    """Rows of equal-length lists as a 2-D float64 array."""
+    """Rows of equal-length lists as a 2-D float64 array; a null list is a row of zeros."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    n = len(column)
-    if n == 0:
-        return np.zeros((0, 0))
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(n, -1)
+    n, valid = len(column), column.is_valid().to_numpy(zero_copy_only=False)
+    if not valid.any():
+        return np.zeros((n, 0))
+    held = np.asarray(column.drop_null().flatten(), dtype=np.float64).reshape(int(valid.sum()), -1)
+    if valid.all():
+        return held
+    out = np.zeros((n, held.shape[1]))
+    out[valid] = held
+    return out
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:

@@ -77,9 +77,11 @@ def dense_top(queries: DataFrame, corpus: DataFrame, k: int = 5, dims: int | Non
     place; a larger one goes through ``_block_join``, which bounds both sides
     of every group.
     """
-    wanted = queries.select("query_id", "embedding")
-    corpus = corpus.select("scope", "chunk_id", "embedding")
-    width = dims or 64
+    # A null vector is near nothing.
+    wanted = queries.select("query_id", "embedding").where("embedding is not null")
+    corpus = corpus.select("scope", "chunk_id", "embedding").where("embedding is not null")
+    first = wanted.select(F.size("embedding")).head()
+    width = dims or max(1, first[0] if first else 1)
     limit = BROADCAST_CELLS // width
     head = wanted.limit(limit + 1).toArrow()
     if head.num_rows > limit:

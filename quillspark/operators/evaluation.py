@@ -195,15 +195,16 @@ def calibration_factor(predictions: DataFrame) -> DataFrame:
 
 # --- harness -----------------------------------------------------------------------
 
-def harness_details(results: DataFrame, queries: DataFrame, chunks: DataFrame, embedder=None) -> DataFrame:
+def harness_details(results: DataFrame, queries: DataFrame, chunks: DataFrame, embedder=None,
+                    chars: int | None = None) -> DataFrame:
     """Similarity of the first text and key-term coverage of the first three, per system.
 
-    ``queries(query_id, query, expected, key_terms)``; texts are compared by
-    their first 150 characters, as they are shown.
+    ``queries(query_id, query, expected, key_terms)``; texts are compared whole
+    or by their first ``chars`` characters.
     """
     embed = embedder or hashing_embedder()
     shown = results.where(F.col("rank") <= 3).join(
-        chunks.select("scope", "chunk_id", F.substring("text", 1, 150).alias("_t")), ["scope", "chunk_id"])
+        chunks.select("scope", "chunk_id", tx.head(F.col("text"), chars).alias("_t")), ["scope", "chunk_id"])
     texts = F.array_sort(F.collect_list(F.struct("rank", "_t")))
     grouped = shown.groupBy("query_id", "system").agg(
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score"), texts.alias("_r"))

@@ -230,8 +230,8 @@ def compare_systems(vector_top: DataFrame, hybrid_top: DataFrame) -> DataFrame:
 
 
 def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, min_candidates: int = 5,
-           score_gap: float = 0.02, head: int = 8, scorer=None, embedder=None) -> DataFrame:
-    """Rescore the first ``head`` hits where the gate says the order is unsure.
+           score_gap: float = 0.02, head: int | None = None, chars: int | None = None, scorer=None, embedder=None) -> DataFrame:
+    """Rescore the hits (the first ``head``, by their first ``chars`` characters, if given) where the gate says the order is unsure.
 
     ``hits(query_id, scope, chunk_id, rank, rrf_score)``; adds ``reranked``,
     ``rerank_score`` and ``new_rank``. ``scorer`` is an expression of the
@@ -248,12 +248,12 @@ def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, min_candidate
         "reranked", (F.count("*").over(group) >= min_candidates) & (F.round(gap, 9) <= score_gap))
     query_vectors = queries.select("query_id", embed(tx.tokenize(F.col("query"))).alias("query_vector"))
     scored = (
-        gated.join(chunks.select("scope", "chunk_id", F.substring("text", 1, 400).alias("_t")), ["scope", "chunk_id"])
+        gated.join(chunks.select("scope", "chunk_id", tx.head(F.col("text"), chars).alias("_t")), ["scope", "chunk_id"])
         .withColumn("chunk_vector", embed(tx.tokenize(F.col("_t"))))
         .join(query_vectors, "query_id")
     )
     value = scorer or F.least(F.greatest(dot(F.col("query_vector"), F.col("chunk_vector")) * 10, F.lit(0.0)), F.lit(10.0))
-    in_head = F.col("reranked") & (F.col("rank") <= head)
+    in_head = F.col("reranked") if head is None else F.col("reranked") & (F.col("rank") <= head)
     scored = scored.withColumn("rerank_score", F.when(in_head, F.round(value, lexical.SCORE_PLACES)))
     order = [F.desc(F.col("rerank_score").isNotNull()), F.desc_nulls_last("rerank_score"), F.asc("rank")]
     return scored.withColumn("new_rank", F.row_number().over(group.orderBy(*order))).drop(

@@ -85,11 +85,11 @@ def course_nodes(sections: DataFrame, subjects: DataFrame | None = None) -> Data
     return top.unionByName(below)
 
 
-def readable_tree(nodes: DataFrame, max_chars: int = 12000) -> DataFrame:
-    """Nodes with their place among their siblings and bounded content."""
+def readable_tree(nodes: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Nodes with their place among their siblings; ``max_chars`` cuts the content."""
     parent = nodes.withColumn("_parent", F.coalesce("parent_id", F.lit("")))
     placed = running(parent, ["doc_id", "_parent"], ["sort_order"], F.floor(F.col("sort_order") / SLICE), {"child_ord": F.lit(1)})
-    return placed.withColumn("content", F.substring(tx.strip(F.coalesce("content", F.lit(""))), 1, max_chars)).withColumn(
+    return placed.withColumn("content", tx.head(tx.strip(F.coalesce("content", F.lit(""))), max_chars)).withColumn(
         "has_content", F.col("content") != "").drop("_parent")
 
 

@@ -106,15 +106,13 @@ def bm25_top(queries: DataFrame, chunks: DataFrame, k: int = 10, legacy: bool =
 # --- vocabulary and autocomplete index ---------------------------------------
 
 # Academic terms every vocabulary contains.
-COMMON_TERMS = (
-    "machine learning artificial intelligence neural network "
-    "algorithm data structure database programming python "
-    "computer science mathematics physics chemistry biology "
-    "operating system software engineering analysis design "
-    "function variable array string class object method "
-    "model training testing validation accuracy performance "
-    "search query index vector embedding retrieval"
-).split()
+COMMON_TERMS = [
+    "machine", "learning", "artificial", "intelligence", "neural", "network", "algorithm", "data", "structure",
+    "database", "programming", "python", "computer", "science", "mathematics", "physics", "chemistry", "biology",
+    "operating", "system", "software", "engineering", "analysis", "design", "function", "variable", "array", "string",
+    "class", "object", "method", "model", "training", "testing", "validation", "accuracy", "performance", "search",
+    "query", "index", "vector", "embedding", "retrieval",
+]
 
 
 def letter_words(text: Column) -> Column:
@@ -138,8 +136,8 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
 
 
-def search_terms(chunks: DataFrame, heading_bonus: int = 3) -> DataFrame:
-    """``scope, term, weight``: 1–3-grams of the text, headings counted three times."""
+def search_terms(chunks: DataFrame, heading_bonus: int = 3, longest: int | None = None) -> DataFrame:
+    """``scope, term, weight``: 1–3-grams of the text, headings counted three times; ``longest`` drops longer terms."""
     tokens = letter_words(F.col("text"))
     grams = chunks.select("scope", tokens.alias("_w")).select(
         "scope",
@@ -151,6 +149,7 @@ def search_terms(chunks: DataFrame, heading_bonus: int = 3) -> DataFrame:
         "scope", "term", F.lit(heading_bonus).alias("_v")
     )
     summed = grams.unionByName(heads).groupBy("scope", "term").agg(F.sum("_v").alias("_s"))
-    return summed.where((F.col("_s") >= 2) & (F.length("term") <= 64)).select(
+    wanted = F.col("_s") >= 2 if longest is None else (F.col("_s") >= 2) & (F.length("term") <= longest)
+    return summed.where(wanted).select(
         "scope", "term", F.when(F.col("_s") >= 3, F.col("_s") + 2).otherwise(F.col("_s")).alias("weight")
     )

@@ -14,6 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on keys that may be null: null meets null. The keys come from the left side."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """Best ``k`` rows per key; Spark limits each task's rows before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -37,7 +44,7 @@ def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_
     )
     outer = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(*keys, "_slice", F.last("_tail", ignorenulls=True).over(outer).alias("_carry"))
-    joined = near.join(carried, [*keys, "_slice"], "left")
+    joined = join_keys(near, carried, [*keys, "_slice"], "left")
     value = F.coalesce("_near", "_carry")
     return joined.select(*df.columns, *[value[n].alias(n) for n in names])
 
@@ -66,7 +73,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, slice_by: C
     any_in = F.lit(False)
     for o in positions:
         any_in = any_in | F.col(f"_in_{o}")
-    inside = counts.join(wanted.where(any_in), [*keys, "_slice"])
+    inside = join_keys(counts, wanted.where(any_in), [*keys, "_slice"])
     by_value = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = inside.withColumn("_hi", F.col("_before") + F.sum("_c").over(by_value))
     upto = upto.withColumn("_lo", F.col("_hi") - F.col("_c"))
@@ -96,5 +103,5 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by:
         *keys, "_slice",
         *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
         *[F.sum(f"_s_{n}").over(whole).alias(n) for n in totals])
-    joined = near.join(carried, [*keys, "_slice"])
+    joined = join_keys(near, carried, [*keys, "_slice"])
     return joined.select(*df.columns, *[(F.col(f"_c_{n}") + F.col(f"_r_{n}")).alias(n) for n in sums], *totals)

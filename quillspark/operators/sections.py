@@ -41,9 +41,9 @@ def strip_running_lines(pages: Column) -> Column:
     return F.when(F.size(pages) < 3, pages).otherwise(tx.bind(edges, with_edges))
 
 
-def estimate_page(content: Column, pages: Column) -> Column:
-    """Page sharing most of the first distinct words of a section; 1 if none does."""
-    snippet = F.array_distinct(F.slice(tx.words(F.lower(tx.strip(F.substring(content, 1, 150)))), 1, 15))
+def estimate_page(content: Column, pages: Column, chars: int | None = None) -> Column:
+    """Page sharing most of the distinct words of a section (of its first ``chars`` characters); 1 if none does."""
+    snippet = F.array_distinct(tx.words(F.lower(tx.strip(tx.head(content, chars)))))
 
     def best(overlaps: Column) -> Column:
         top = F.array_max(overlaps)

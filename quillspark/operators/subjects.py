@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions import labels as lb, text as tx
 from quillspark.operators.suggest import similar_pairs
+from quillspark.plans.lineage import cut
 
 # Subjects in order of precedence with their keywords.
 SUBJECT_KEYWORDS = {
@@ -31,7 +32,6 @@ SUBJECT_BONUS = {
     "Python": [(r"\bpython\b", 6), (r"\bpython programming\b", 6), (r"\bdef\s+[a-zA-Z_]\w*\s*\(", 2)],
     "Computer Programming": [(r"\bcomputer programming\b", 5), (r"\bpython\b", -2)],
 }
-SAMPLE_CHARS = 3500
 
 
 def _bounded(keyword: str) -> str:
@@ -53,13 +53,13 @@ def keyword_score(text: Column, keywords: list[str], bonus: list[tuple[str, int]
 
 
 def classify(samples: DataFrame, keywords: dict[str, list[str]] = SUBJECT_KEYWORDS,
-             bonus: dict[str, list[tuple[str, int]]] = SUBJECT_BONUS) -> DataFrame:
+             bonus: dict[str, list[tuple[str, int]]] = SUBJECT_BONUS, chars: int | None = None) -> DataFrame:
     """Best-scoring subject of every sample; a plain projection.
 
     ``samples(doc_id, sample)``. ``subject`` needs two points, ``fallback``
     takes any positive score; equal scores go to the earlier subject.
     """
-    lowered = samples.withColumn("_t", F.lower(F.substring(F.coalesce("sample", F.lit("")), 1, SAMPLE_CHARS)))
+    lowered = samples.withColumn("_t", F.lower(tx.head(F.coalesce("sample", F.lit("")), chars)))
     scored = lowered.withColumn("_s", F.array(*[
         keyword_score(F.col("_t"), words, bonus.get(name, [])) for name, words in keywords.items()]))
     names = F.array(*[F.lit(n) for n in keywords])
@@ -71,9 +71,9 @@ def classify(samples: DataFrame, keywords: dict[str, list[str]] = SUBJECT_KEYWOR
         "fallback": F.when(top > 0, winner).otherwise("General Studies")}).drop("_t", "_s")
 
 
-def sample_text(chunks: DataFrame) -> DataFrame:
-    """Sample of a document from its sampled chunks (at most nine, 500 characters each)."""
-    line = F.concat(F.lit("[Section: "), F.coalesce("section", F.lit("Unknown")), F.lit("]\n"), F.substring("text", 1, 500))
+def sample_text(chunks: DataFrame, chars: int | None = None) -> DataFrame:
+    """A document's sampled chunks as one text; ``chars`` cuts each chunk."""
+    line = F.concat(F.lit("[Section: "), F.coalesce("section", F.lit("Unknown")), F.lit("]\n"), tx.head(F.col("text"), chars))
     parts = F.array_sort(F.collect_list(F.struct("sample_ord", line.alias("t"))))
     return chunks.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("sample"))
 
@@ -88,7 +88,7 @@ def canonical_subjects(labels: DataFrame, floor: float = 0.62) -> DataFrame:
     named = labels.withColumn("subject", F.coalesce(F.nullif(tx.strip("subject"), F.lit("")), F.lit("General Studies")))
     distinct = named.groupBy("subject").agg(F.count("*").alias("_uses")).withColumn("_low", F.lower("subject"))
     left = distinct.select(F.col("_low").alias("word")).distinct()
-    pairs = similar_pairs(left, left.withColumnRenamed("word", "term"), floor)
+    pairs = similar_pairs(left, left.withColumnRenamed("word", "term"), floor, word_first=True)
     tokens = F.array_distinct(F.regexp_extract_all("_low", F.lit("([a-z0-9]+)"), F.lit(1)))
     tokened = distinct.select("_low").distinct().withColumn("_tok", tokens)
     shared = tokened.select(F.col("_low").alias("word"), F.size("_tok").alias("_na"), F.explode("_tok").alias("_k")).join(
@@ -106,11 +106,13 @@ def canonical_subjects(labels: DataFrame, floor: float = 0.62) -> DataFrame:
     return named.join(chosen, "subject", "left").withColumn("canonical", F.coalesce("canonical", "subject"))
 
 
-def reclassify(samples: DataFrame) -> DataFrame:
+def reclassify(samples: DataFrame, keywords: dict[str, list[str]] = SUBJECT_KEYWORDS,
+               bonus: dict[str, list[tuple[str, int]]] = SUBJECT_BONUS) -> DataFrame:
     """Subject of every ready document, made canonical; documents without text get an error."""
-    classified = classify(samples).withColumn("error", F.when(F.coalesce("sample", F.lit("")) == "", "no text"))
+    classified = classify(samples, keywords, bonus).withColumn("error", F.when(F.coalesce("sample", F.lit("")) == "", "no text"))
     subject = lb.sanitize_subject(F.col("subject"))
     clean = classified.withColumn("subject", F.when(subject == "General", "General Studies").otherwise(subject))
+    clean = cut(clean.select("doc_id", "subject", "score", "error"))
     return canonical_subjects(clean.where("error is null").select("doc_id", "subject", "score")).unionByName(
         clean.where("error is not null").select("doc_id", "subject", "score", F.lit(None).cast("string").alias("canonical"), "error"),
         allowMissingColumns=True)

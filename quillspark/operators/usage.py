@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions import text as tx
-from quillspark.operators.ordered import last_before, running, top_k
+from quillspark.operators.ordered import join_keys, last_before, running, top_k
 
 # USD per million tokens, looked up exactly, then by containment in this order.
 MODEL_RATES = [
@@ -109,7 +109,7 @@ def quota_decisions(requests: DataFrame, order: list[str]) -> DataFrame:
     most = max(FREE_LIMITS.values())
     admitted = top_k(counted, keys, [F.asc(c) for c in order], most, "_r").where(F.col("_r") <= F.col("_limit"))
     last = admitted.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last"))
-    decided = counted.join(last, keys).withColumn(
+    decided = join_keys(counted, last, keys).withColumn(
         "decision", F.when(F.struct(*order) <= F.col("_last"), "allowed").otherwise("denied")).drop("_last")
     free_pass = rows.where(F.col("_limit").isNull()).withColumn("decision", F.lit("uncounted"))
     return decided.unionByName(free_pass).drop("_limit")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -18,15 +16,20 @@ DEFAULTS = {
 }
 
 
-def build_session(app: str = "quillspark", cpus: str | int = "*", shuffle_partitions: int = 8,
-                  memory: str = "8g") -> SparkSession:
-    builder = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
-        .config("spark.driver.memory", memory)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.local.dir", os.environ.get("SPARK_LOCAL_DIRS", "/tmp"))
-    )
+def build_session(app: str = "quillspark", cpus: str | int | None = None, shuffle_partitions: int | None = None,
+                  memory: str | None = None) -> SparkSession:
+    """A session with the package's settings.
+
+    Master, memory and partitions are left to the cluster; ``cpus`` asks for a
+    local session instead.
+    """
+    builder = SparkSession.builder.appName(app)
+    if cpus is not None:
+        builder = builder.master(f"local[{cpus}]")
+    if memory is not None:
+        builder = builder.config("spark.driver.memory", memory)
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -431,11 +431,11 @@ def followup_questions(spark, sf_dir):
 
 
 def normalized_sql(x: str) -> str:
-    return f"case when len({sql.keywords(x)}) > 0 then {x} || ' | keywords: ' || array_to_string(list_slice({sql.keywords(x)}, 1, 8), ' ') else {x} end"
+    return f"case when len({sql.keywords(x)}) > 0 then {x} || ' | keywords: ' || array_to_string({sql.keywords(x)}, ' ') else {x} end"
 
 
 @bound("memoised_questions", f"""with {ALL_QUESTIONS_SQL},
-w as (select query_id, {sql.words("substr(" + sql.strip('query') + ", 1, 500)")} as ws from asked),
+w as (select query_id, {sql.words(sql.strip('query'))} as ws from asked),
 s as (select query_id, lower(array_to_string(list_reduce(list_transform(ws, lambda x: [x]),
     lambda acc, x: case when len(list_filter(list_slice(acc, greatest(len(acc) - 2, 1), len(acc)),
         lambda y: lower(y) = lower(x[1]))) > 0 then acc else list_concat(acc, x) end, cast([] as varchar[])), ' ')) as q from w),

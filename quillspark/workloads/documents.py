@@ -87,7 +87,7 @@ def running_lines_removed(spark, sf_dir):
 
 @bound("page_estimates", f"""with {PAGES_SQL},
 u as (select doc_id, pages, unnest(range(1, len(pages) + 1))::int as pos from pg),
-s as (select doc_id, pos, pages, list_distinct(list_slice({sql.words("lower(" + sql.strip("substr(pages[pos], 1, 150)") + ")")}, 1, 15)) as w
+s as (select doc_id, pos, pages, list_distinct({sql.words("lower(" + sql.strip("pages[pos]") + ")")}) as w
     from u),
 o as (select doc_id, pos, list_transform(pages, lambda p: len(list_intersect(w, {sql.words('lower(p)')}))) as ov from s)
 select doc_id, pos, case when list_max(ov) > 0 then list_position(ov, list_max(ov))::int else 1 end as page from o""")

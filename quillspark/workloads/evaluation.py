@@ -76,7 +76,7 @@ met as (select q.query_id, s.system, coalesce(n_gold, 0) as n_gold, coalesce(h3
 
 RERANK_SQL = f"""rg as (select *, count(*) over w >= 5 and round(abs(max(case when rank = 1 then rrf_score end) over w
     - max(case when rank = 2 then rrf_score end) over w), 9) <= 0.02 as on_ from hyb window w as (partition by query_id)),
-rh as (select scope, chunk_id, substr(text, 1, 400) as text from chunks),
+rh as (select scope, chunk_id, text from chunks),
 {sql.vectors('queries', 'query_id', 'query', 'rq')}, {sql.vectors('rh', 'scope, chunk_id', 'text', 'rc')},
 rd as (select h.query_id, h.chunk_id, sum(q.v * c.v) as s from hyb h join rc c using (scope, chunk_id)
     join rq q on q.query_id = h.query_id and q.b = c.b group by all),
@@ -259,7 +259,7 @@ def harness(spark, sf_dir) -> DataFrame:
 
 
 HARNESS_SQL = f"""{EVAL_SQL},
-sh as (select r.query_id, r.system, r.rank, r.score, substr(c.text, 1, 150) as t from res r join chunks c using (scope, chunk_id) where rank <= 3),
+sh as (select r.query_id, r.system, r.rank, r.score, c.text as t from res r join chunks c using (scope, chunk_id) where rank <= 3),
 bt as (select query_id, system, any_value(score) filter (rank = 1) as top_score, any_value(t) filter (rank = 1) as text,
     lower(string_agg(t, ' ' order by rank)) as alltext from sh group by all),
 {sql.vectors('bt', 'query_id, system', 'text', 'bv')}, {sql.vectors('queries', 'query_id', 'query', 'ex')},

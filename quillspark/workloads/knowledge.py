@@ -85,7 +85,7 @@ def course_nodes(spark, sf_dir):
 
 
 @bound("readable_tree", f"""with {NODES_SQL} select doc_id, node_id, row_number() over (partition by doc_id, coalesce(parent_id, '') order by sort_order) as child_ord,
-    coalesce(content, '') <> '' as has_content, length(substr(coalesce(content, ''), 1, 12000))::int as shown_chars from nodes""")
+    coalesce(content, '') <> '' as has_content, length(coalesce(content, ''))::int as shown_chars from nodes""")
 def readable_tree(spark, sf_dir):
     tree = hierarchy.readable_tree(conversation_nodes(spark, sf_dir))
     return tree.select("doc_id", "node_id", "child_ord", "has_content", F.length("content").alias("shown_chars"))
@@ -136,11 +136,11 @@ def decorated_hits(spark, sf_dir):
         "doc_id", "chunk_id", "node_id", "section_path", "title", "filename")
 
 
-@bound("node_chunks", f"""with {NODES_SQL}, {HITS_SQL} select f.node_id, count(*) as chunks from f group by f.node_id""")
+@bound("node_chunks", f"""with {NODES_SQL}, {HITS_SQL} select f.doc_id, f.node_id, count(*) as chunks from f group by f.doc_id, f.node_id""")
 def node_chunks(spark, sf_dir):
     nodes = conversation_nodes(spark, sf_dir)
     located = hierarchy.locate_nodes(conversation_hits(spark, sf_dir), nodes).where("node_id <> ''")
-    return located.groupBy("node_id").agg(F.count("*").alias("chunks"))
+    return located.groupBy("doc_id", "node_id").agg(F.count("*").alias("chunks"))
 
 
 @bound("fallback_tree", f"""with {SECTIONS_SQL}, r as (select *, row_number() over (partition by doc_id, title order by section_ord) as i from s where content <> ''),
@@ -194,9 +194,9 @@ def score_sql(keywords, bonus) -> str:
 
 
 SAMPLE_SQL = f"""{WINDOWS_SQL}, sw as (select doc_id, ord, text, row_number() over (partition by doc_id order by ord) as i, count(*) over (partition by doc_id) as n from windows),
-smp as (select doc_id, string_agg('[Section: Document Content]' || chr(10) || substr(text, 1, 500), chr(10) || chr(10) order by i) as sample from sw
+smp as (select doc_id, string_agg('[Section: Document Content]' || chr(10) || text, chr(10) || chr(10) order by i) as sample from sw
     where n <= 8 or i <= 3 or i > n - 3 or i - 1 between n // 2 - 1 and n // 2 + 1 group by doc_id),
-low as (select doc_id, lower(substr(sample, 1, 3500)) as t from smp),
+low as (select doc_id, lower(sample) as t from smp),
 bags as (select *, regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}_]+') as bag from low)"""
 
 
@@ -242,8 +242,7 @@ def canonical_subjects(spark, sf_dir):
 
 @bound("reclassified_library")
 def reclassified_library(spark, sf_dir):
-    labelled = cut(subjects.classify(samples(spark, sf_dir), LANGUAGE_KEYWORDS, LANGUAGE_BONUS).select("doc_id", "subject"))
-    return subjects.canonical_subjects(labelled)
+    return subjects.reclassify(samples(spark, sf_dir), LANGUAGE_KEYWORDS, LANGUAGE_BONUS)
 
 
 def library(spark, sf_dir) -> DataFrame:
@@ -289,7 +288,7 @@ g as (select scope, unnest(w) as term, 1 as v from w
     union all select scope, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 1 from w where len(w) >= 3
     union all select scope, 'section ' || lang, 3 from w),
 s as (select scope, term, sum(v) as s from g group by all)
-select scope, term, (case when s >= 3 then s + 2 else s end)::bigint as weight from s where s >= 2 and length(term) <= 64""")
+select scope, term, (case when s >= 3 then s + 2 else s end)::bigint as weight from s where s >= 2""")
 def search_terms(spark, sf_dir):
     return lexical.search_terms(headed_chunks(spark, sf_dir))
 
@@ -400,36 +399,6 @@ def shuffled_questions(spark, sf_dir):
     return mixed.select("doc_id", "ord", F.array_join("q.options", " / ").alias("options"), "q.correct_answer")
 
 
-STUDY_SQL = f"""s0 as (select doc_id, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: {sql.strip('x')}), lambda x: length(x) > 15) as s from documents),
-st as (select doc_id, case when len(s) > 0 then s else ['{quiz.PLACEHOLDER}'] end as s from s0),
-kinds(kind, cnt) as (values ('flashcards', 10), ('summary', 5), ('slides', 5), ('quiz', 5), ('mock_test', 15), ('fun_facts', 5), ('rapid_fire', 10), ('true_false', 10), ('fill_blanks', 10)),
-it as (select doc_id, s, kind, unnest(range(0, case when kind in ('slides', 'fun_facts') then least(len(s), cnt) else cnt end)) as i from st cross join kinds),
-x as (select *, s[i % len(s) + 1] as t, {sql.words('s[i % len(s) + 1]')} as w, i % 4 as rot from it),
-y as (select *, case kind when 'quiz' then [t, 'Distractor choice A for sentence ' || i, 'Distractor choice B for sentence ' || i, 'Distractor choice C for sentence ' || i]
-    else [t, 'Incorrect alternative Option X ' || i, 'Incorrect alternative Option Y ' || i, 'Incorrect alternative Option Z ' || i] end as o from x),
-z as (select *, array_to_string(list_transform(list_concat(o[rot + 1 : 4], o[1 : rot]), lambda e: substr(e, 1, 100)), ' / ') as shown,
-    substr('ABCD', ((4 - rot) % 4 + 1)::int, 1) as key from y)"""
-
-
-@bound("study_items", f"""with {STUDY_SQL} select doc_id, kind, (i + 1)::int as ord, case kind
-    when 'flashcards' then substr(array_to_string(w[1 : 6], ' ') || '?', 1, 45)
-    when 'summary' then substr(t, 1, 90) || case when length(t) > 90 then '...' else '' end
-    when 'slides' then 'Topic ' || (i + 1) || ': Study Guide'
-    when 'quiz' then 'Which statement is true regarding topic ' || (i + 1) || '? ' || shown
-    when 'mock_test' then 'Question ' || (i + 1) || ': What is verified in section ' || i || '? ' || shown
-    when 'fun_facts' then substr(t, 1, 120)
-    when 'rapid_fire' then substr('What is key about ' || array_to_string(w[1 : 4], ' ') || '?', 1, 100)
-    when 'true_false' then substr(case when i % 2 = 0 then t else 'It is false that ' || t end, 1, 150)
-    else case when len(w) > 4 then substr(array_to_string(list_transform(w, lambda e, j: case when j = len(w) // 2 + 1 then '___' else e end), ' '), 1, 150)
-        else 'The primary RAG component is ___.' end end as prompt, case kind
-    when 'flashcards' then substr(array_to_string(w[1 : 12], ' '), 1, 75) when 'summary' then ''
-    when 'slides' then substr(s[i % len(s) + 1], 1, 100) || ' / ' || substr(s[(i + 1) % len(s) + 1], 1, 100) || ' / ' || substr(s[(i + 2) % len(s) + 1], 1, 100)
-    when 'quiz' then key when 'mock_test' then key when 'fun_facts' then '' when 'rapid_fire' then substr(w[-1], 1, 20)
-    when 'true_false' then case when i % 2 = 0 then 'true' else 'false' end else case when len(w) > 4 then substr(w[len(w) // 2 + 1], 1, 30) else 'LLM' end end as answer from z""")
-def study_items(spark, sf_dir):
-    return quiz.study_items(documents(spark, sf_dir).select("doc_id", "text"))
-
-
 # --- responses ---------------------------------------------------------------------------------
 
 def raw_responses(spark, sf_dir) -> DataFrame:

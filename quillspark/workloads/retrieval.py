@@ -195,7 +195,7 @@ def question_features(spark, sf_dir):
 
 
 @bound("sanitized_queries", f"""with recursive {ALL_QUESTIONS_SQL},
-w as (select query_id, {sql.words("substr(" + sql.strip('query') + ", 1, 500)")} as ws from asked),
+w as (select query_id, {sql.words(sql.strip('query'))} as ws from asked),
 f as (select query_id, list_reduce(list_transform(ws, lambda x: [x]),
     lambda acc, x: case when len(list_filter(list_slice(acc, greatest(len(acc) - 2, 1), len(acc)),
         lambda y: lower(y) = lower(x[1]))) > 0 then acc else list_concat(acc, x) end,
@@ -248,11 +248,11 @@ def vector_vs_hybrid(spark, sf_dir):
 g as (select *, count(*) over w >= 5 and round(abs(max(case when rank = 1 then rrf_score end) over w
     - max(case when rank = 2 then rrf_score end) over w), 9) <= 0.02 as reranked
     from hyb window w as (partition by query_id, scope)),
-head as (select scope, chunk_id, substr(text, 1, 400) as text from chunks),
+head as (select scope, chunk_id, text from chunks),
 {sql.vectors('queries', 'query_id', 'query', 'rq')}, {sql.vectors('head', 'scope, chunk_id', 'text', 'rc')},
 d as (select g.query_id, g.scope, g.chunk_id, sum(q.v * c.v) as s from g join rc c using (scope, chunk_id)
     join rq q on q.query_id = g.query_id and q.b = c.b group by all),
-s as (select g.*, case when reranked and rank <= 8 then round(least(greatest(coalesce(s, 0) * 10, 0), 10), 8) end as rs
+s as (select g.*, case when reranked then round(least(greatest(coalesce(s, 0) * 10, 0), 10), 8) end as rs
     from g left join d using (query_id, scope, chunk_id))
 select query_id, scope, chunk_id, rank, coalesce(reranked, false) as reranked, round(rs, 6) as rerank_score,
     (row_number() over (partition by query_id, scope order by rs is not null desc, rs desc nulls last, rank))::int
@@ -461,4 +461,4 @@ def highlighted_hits(spark, sf_dir):
     hits = lexical.bm25_top(asked, corpus, 3).join(asked, "query_id")
     rows = search.with_text(hits, corpus)
     return rows.select("query_id", "scope", "chunk_id", "rank",
-                       tx.highlight(F.substring("text", 1, 300), F.col("query")).alias("snippet"))
+                       tx.highlight(F.col("text"), F.col("query")).alias("snippet"))
