@@ -47,6 +47,7 @@ SAMPLE_DOCS = 2000
 SAMPLE_TOKENS = 20000
 TOKEN_CHARS = 200
 MIN_RATIO = 6.0
+PRIOR = 16
 BLOCK = 256
 
 
@@ -96,11 +97,19 @@ def learn(docs: DataFrame, text: str = "text") -> list[float]:
     tokens = top_k(tokens, ["_random"], [F.xxhash64("_token"), F.col("_token")], SAMPLE_TOKENS, "_rank")
     size = len(ALPHABET)
     counts = tokens.select("_random", F.explode(_pairs(F.col("_token"), lambda a, b: a * size + b)).alias("_pair")).groupBy("_random", "_pair").count().collect()
-    tables = {True: [1.0] * size * size, False: [1.0] * size * size}
+    tables = {True: [0] * size * size, False: [0] * size * size}
     for row in counts:
-        tables[row["_random"]][row["_pair"]] += row["count"]
-    total = {k: [sum(t[a * size:(a + 1) * size]) for a in range(size)] for k, t in tables.items()}
-    return [math.log(tables[True][p] / total[True][p // size]) - math.log(tables[False][p] / total[False][p // size]) for p in range(size * size)]
+        tables[row["_random"]][row["_pair"]] = row["count"]
+    found = {k: _chances(t, size) for k, t in tables.items()}
+    return [math.log(p) - math.log(q) for p, q in zip(found[True], found[False])]
+
+
+def _chances(pairs: list[int], size: int) -> list[float]:
+    """Chance of each second character after each first one; rare first ones lean on the characters' own chances."""
+    after = [sum(pairs[a * size:(a + 1) * size]) for a in range(size)]
+    total = sum(after) + size
+    alone = [(sum(pairs[b::size]) + 1) / total for b in range(size)]
+    return [(pairs[a * size + b] + PRIOR * alone[b]) / (after[a] + PRIOR) for a in range(size) for b in range(size)]
 
 
 def ratio(token: Column, model: list[float]) -> Column:
