@@ -23,6 +23,7 @@ rows, ties and other columns do not matter.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
@@ -94,7 +95,7 @@ class Classifier:
         return sizes[0][1], 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], text: str = "text",
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], keep: Sequence[str], text: str = "text",
              min_margin: float = MIN_MARGIN, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """The kept columns with the language, its margin and whether the margin is too narrow."""
 
