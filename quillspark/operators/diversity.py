@@ -21,11 +21,11 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def mmr(candidates: DataFrame, keys: list[str], limit: int = 10, lam: float = 0.7, ceiling: float = 0.85,
-        relevance: str = "rrf_score", pool: int = 20) -> DataFrame:
+        relevance: str = "rrf_score", pool: int | None = None) -> DataFrame:
     """Diverse selection among the ranked hits of every group.
 
-    ``candidates`` has ``rank``, ``embedding`` and the relevance column and at
-    most ``pool`` rows a group (the callers' top-k). A group becomes one row of
+    ``candidates`` has ``rank``, ``embedding`` and the relevance column; a group
+    is a top-k list (its first ``pool`` rows, if given) and becomes one row of
     arrays, so an Arrow batch decides many groups at once; returns the kept
     rows with ``mmr_rank``.
     """
@@ -38,7 +38,7 @@ def mmr(candidates: DataFrame, keys: list[str], limit: int = 10, lam: float = 0.
         return pa.array(out, pa.list_(pa.int32()))
 
     row = F.struct("rank", *[c for c in candidates.columns if c not in ("rank", *keys)])
-    packed = candidates.where(F.col("rank") <= pool).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_c"))
+    packed = (candidates if pool is None else candidates.where(F.col("rank") <= pool)).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_c"))
     picked = packed.withColumn("_o", choose(F.col(f"_c.{relevance}"), F.col("_c.embedding")))
     taken = picked.select(*keys, "_c", F.posexplode("_o").alias("_p", "_i"))
     rows = taken.select(*keys, F.element_at("_c", F.col("_i") + 1).alias("_r"), (F.col("_p") + 1).alias("mmr_rank"))

@@ -8,7 +8,6 @@ from quillspark.functions import text as tx
 from quillspark.functions.vectors import hashing_embedder
 from quillspark.operators import dense, lexical
 
-MAX_TOP_K = 10
 OVER_FETCH = 3
 
 # Query type rules, first match wins.
@@ -106,6 +105,11 @@ def expand_simple(queries: DataFrame) -> DataFrame:
     }).drop("_v")
 
 
+def queries_top(queries: DataFrame) -> int | None:
+    """The largest ``top_k`` of a query set."""
+    return queries.agg(F.max("top_k")).first()[0]
+
+
 def variant_hits(variants: DataFrame, chunks: DataFrame, embedder=None) -> DataFrame:
     """Hits of both searches for every variant, over-fetched by three.
 
@@ -116,7 +120,8 @@ def variant_hits(variants: DataFrame, chunks: DataFrame, embedder=None) -> DataF
         F.concat_ws("\x1f", F.col("query_id").cast("string"), F.col("variant").cast("string")).alias("_key"),
         "query_id", "variant", "weight", "variant_text", "top_k")
     keyed = asked.select(F.col("_key").alias("query_id"), F.col("variant_text").alias("query"))
-    limit = MAX_TOP_K + OVER_FETCH
+    # The largest wanted list, so that both searches limit each task's rows.
+    limit = (queries_top(asked) or 0) + OVER_FETCH
 
     words = lexical.bm25_top(keyed, chunks, limit)
     vectors = chunks.select("scope", "chunk_id", embed(tx.tokenize(F.col("text"))).alias("embedding"))
@@ -183,7 +188,7 @@ def fusion_ranks(scored: DataFrame, strategy: DataFrame) -> DataFrame:
 def rank_fusion(scored: DataFrame, strategy: DataFrame) -> DataFrame:
     """The fused hits within each query's ``top_k``."""
     ranked = fusion_ranks(scored, strategy)
-    return ranked.where((F.col("rank") <= MAX_TOP_K) & (F.col("rank") <= F.col("top_k"))).select(
+    return ranked.where(F.col("rank") <= F.col("top_k")).select(
         "query_id", "scope", "chunk_id", "rank", "rrf_score", "vector_rank", "bm25_rank", "vector_score", "bm25_score")
 
 

@@ -10,21 +10,21 @@ from quillspark.functions.similarity import earlier_duplicates
 from quillspark.functions.vectors import hashing_embedder, matrix_of
 from quillspark.operators.ordered import top_k
 
-# Near-copies are looked for among the first chunks of a document only.
-COMPARED = 30
 
-
-def near_duplicates(chunks: DataFrame, threshold: float = 0.85, compared: int = COMPARED, embedder=None) -> DataFrame:
+def near_duplicates(chunks: DataFrame, threshold: float = 0.85, compared: int | None = None, chars: int | None = None,
+                    embedder=None) -> DataFrame:
     """``doc_id, chunk_id`` of chunks close to an earlier one of their document.
 
-    ``chunks(doc_id, position, chunk_id, text)``. The first ``compared`` chunks
-    of a document become one row of vectors, so a group is bounded and an
-    Arrow batch handles many documents.
+    ``chunks(doc_id, position, chunk_id, text)``. The chunks of a document
+    become one row of vectors, smaller than its text, so an Arrow batch handles
+    many documents. ``compared`` and ``chars`` limit the chunks of a document
+    and the characters of a chunk.
     """
     embed = embedder or hashing_embedder()
-    head = top_k(chunks, ["doc_id"], [F.asc("position")], compared, "_rank").where(
-        tx.word_count(F.col("text")) >= 20)
-    vectors = head.withColumn("_v", embed(tx.tokenize(F.substring("text", 1, 300))))
+    head = chunks.withColumn("_rank", F.col("position")) if compared is None else top_k(
+        chunks, ["doc_id"], [F.asc("position")], compared, "_rank")
+    head = head.where(tx.word_count(F.col("text")) >= 20)
+    vectors = head.withColumn("_v", embed(tx.tokenize(tx.head(F.col("text"), chars))))
     packed = vectors.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_rank", "chunk_id", "_v"))).alias("_c"))
 
     @F.arrow_udf("array<boolean>")

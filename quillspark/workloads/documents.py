@@ -272,7 +272,7 @@ def positioned_chunks(spark, sf_dir) -> DataFrame:
 QUALITY_SQL = f"""{GROUPS_SQL},
 tc as (select doc_id, ord, text, word_count, row_number() over (partition by doc_id order by ord) as rn from text_chunks
     where word_count >= 50),
-hd as (select doc_id, ord, substr(text, 1, 300) as text from tc where rn <= 30 and word_count >= 20),
+hd as (select doc_id, ord, text from tc where word_count >= 20),
 {sql.vectors('hd', 'doc_id, ord', 'text', 'hv')},
 dup as (select b.doc_id, b.ord from hv a join hv b on a.doc_id = b.doc_id and a.ord < b.ord and a.b = b.b
     group by b.doc_id, b.ord, a.ord having round(sum(a.v * b.v), 9) > 0.85),
