@@ -1,26 +1,30 @@
 """N-gram Jaccard join: linked documents as components, by rare-first prefix filtering.
 
-1. A slab of texts becomes sets of 4-word shingle hashes. They go out in one
-   binary row per slab and hash range, so the shuffle moves eight bytes a
-   shingle and a shingle of every document costs one entry per document.
-2. Each hash range counts in how many documents a shingle occurs and sends back
-   to the slabs those that occur twice or more.
-3. Per document, shingles are ordered by frequency. With ``n`` shingles, two
-   documents can only reach the threshold if they share one of their first
-   ``n - ceil(0.85 n) + 1``. Shingles of one document come first in that order:
+1. Texts are dealt into slabs by hash; one row of each text goes on, so copies
+   are one class. A slab turns its texts into sets of 4-word shingle hashes and
+   sends sorted 32-bit keys of them to hash ranges, packed in one row per slab
+   and range.
+2. Each hash range counts in how many texts a key occurs and answers with one
+   byte per key, in the same order. Keys that collide share a count: the order
+   below stays the same for all texts.
+3. The slab orders the shingles of a text by frequency, ties by hash. With ``n``
+   shingles, two texts can only reach the threshold if they share one of their
+   first ``n - ceil(0.85 n) + 1``. Shingles of one text come first in that order:
    whoever has enough of them has no partner and is done.
-4. Documents of equal sets are one class. Classes are joined on prefix shingles
-   with the length filter (sizes within the threshold) and the positional filter
-   (overlap still possible after the first shared place); a pair is kept once,
-   passes the suffix filter and is verified by exact intersection.
+4. Texts are joined on prefix shingles with the length filter (sizes within the
+   threshold), the positional filter (overlap still possible after the shared
+   place) and the least difference of the sets (shingles of one text, and bits
+   in which the parities of the shared ones differ); a pair is kept once, passes
+   the suffix filter and is verified by exact intersection.
 5. So that a large group does not become all its pairs, every prefix shingle
-   first pairs its classes with one pivot of its own. Only classes that these
-   links left outside the largest component of a shingle are then paired with
-   the other components of it. A pair inside a component adds nothing, so no
-   link is lost.
+   first pairs its classes with one pivot of its own. Classes that these links
+   left outside the largest component of a shingle meet ``PIVOTS`` classes of
+   it; those still outside are paired with all other components of the shingle.
+   A pair inside a component adds nothing, so no link is lost.
 
-Shingles are compared by 64-bit hashes, classes by 128-bit hashes. The input
-must give the same rows again when a task is repeated, as files do.
+Shingles are compared by 64-bit hashes, texts by 128-bit hashes. Texts are
+shuffled once; both steps that read them reuse that exchange and put a slab in
+order by id and text, so a repeated task finds the same places.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; 1 to 3 words are one shingle; a null id takes part and the component's
@@ -35,67 +39,98 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.llm import shingles
-from quillspark.llm.batches import chunks
 from quillspark.llm.components import components
 from quillspark.plans.lineage import cut
 
 PERCENT = 85
 SLAB_BYTES = 8 << 20
-SLAB_DOCS = 50_000
 RANGES_PER_PARTITION = 4
 SUFFIX_DEPTH = 3
+WORDS_OF_BITS = 8
+PIVOTS = 8
 
-_BLOB = "part int, slab long, hashes binary, docs binary, counts binary, ids array<long>, sizes array<int>, marks array<binary>"
-_DOC = "doc_id long, n int, mark binary, alone int, prefix array<long>, items binary"
-
-
-def _slabs(parts: int):
-    schema = pa.schema([("part", pa.int32()), ("slab", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()),
-                        ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("marks", pa.list_(pa.binary()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slab = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for chunk in chunks(batch, "_text", SLAB_BYTES):
-                for at in range(0, chunk.num_rows, SLAB_DOCS):
-                    part = chunk.slice(at, SLAB_DOCS)
-                    found = shingles.sets(part.column("_text").to_pylist())
-                    slab += 1
-                    rows = [(slab % parts, slab, None, None, None, part.column("_id").to_pylist(), [len(x) for x in found],
-                             [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found])]
-                    hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                    docs = np.repeat(np.arange(len(found), dtype=np.uint32), [len(x) for x in found])
-                    ranges = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
-                    order = np.argsort(ranges, kind="stable")
-                    edges = np.searchsorted(ranges[order], np.arange(parts + 1))
-                    hashes, docs = hashes[order], docs[order]
-                    rows += [(r, slab, hashes[a:b].tobytes(), docs[a:b].astype(np.uint16).tobytes(), None, None, None, None)
-                             for r, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if a < b]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+_ROWS = "part int, slab long, keys binary, places binary"
+_SCHEMA = pa.schema([("part", pa.int32()), ("slab", pa.int64()), ("keys", pa.binary()), ("places", pa.binary())])
+_DOC = "mark binary, n int, alone int, prefix array<long>, bits array<long>, items binary"
+
+
+def _texts(table: pa.Table) -> list[tuple[int | None, str]]:
+    """The rows of a slab in an order of their own."""
+    return sorted(zip(table.column("doc_id").to_pylist(), (t or "" for t in table.column("text").to_pylist())), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
+def _mark(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8")).digest()
+
+
+def _keyed(found: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash range and 32-bit key of every shingle of a slab, and the order by both."""
+    hashes = np.concatenate([*found, np.zeros(0, np.uint64)])
+    keys = (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+    return keys, np.argsort(keys, kind="stable")
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA) if rows else _SCHEMA.empty_table()
+
+
+def _send(parts: int):
+    """Sorted keys of the slab's distinct texts, by hash range, and which rows those texts are."""
+
+    def run(texts: pa.Table, first: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return _SCHEMA.empty_table()
+        slab, rows = texts.column("slab")[0].as_py(), _texts(texts)
+        wanted = set(zip(first.column("doc_id").to_pylist(), first.column("mark").to_pylist()))
+        chosen = []
+        for i, (doc_id, text) in enumerate(rows):
+            if (doc_id, mark := _mark(text)) in wanted:
+                wanted.remove((doc_id, mark))
+                chosen.append(i)
+        keys, order = _keyed(shingles.sets([rows[i][1] for i in chosen]), parts)
+        keys = keys[order]
+        edges = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)).tolist()
+        out = [(slab % parts, slab, None, np.array(chosen, np.uint32).tobytes())]
+        for r, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            if a < b:
+                # Steps between sorted keys are small; byte planes let the shuffle compress their upper bytes.
+                steps = np.diff(keys[a:b] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype(np.uint32)
+                out.append((r, slab, steps.view(np.uint8).reshape(-1, 4).T.tobytes(), None))
+        return _table(out)
 
     return run
 
 
+def rarity(count: np.ndarray) -> np.ndarray:
+    """Document counts on one byte: exact below 64, then eight steps per doubling."""
+    return np.where(count < 64, count, np.minimum(255, 64 + np.floor(8 * np.log2(np.maximum(count, 64) / 64)))).astype(np.uint8)
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A bit set that every shingle flips one bit of: sets differ in at least as many shingles as bits."""
+    odd = np.bincount((hashes % np.uint64(64 * WORDS_OF_BITS)).astype(np.int64), minlength=64 * WORDS_OF_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _count(table: pa.Table) -> pa.Table:
-    """Of one hash range, the shingles of two documents or more with their counts, back by slab."""
-    blobs = [np.frombuffer(b or b"", np.uint64) for b in table.column("hashes").to_pylist()]
-    kept = [None] * len(blobs), [None] * len(blobs), [None] * len(blobs)
-    if any(map(len, blobs)):
-        _, which, count = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
-        count, at = count[which].astype(np.uint32), 0
-        for i, (hashes, docs) in enumerate(zip(blobs, table.column("docs").to_pylist())):
-            own = count[at:at + len(hashes)]
-            at += len(hashes)
-            more = own > 1
-            if more.any():
-                kept[0][i], kept[1][i], kept[2][i] = hashes[more].tobytes(), np.frombuffer(docs, np.uint16)[more].tobytes(), own[more].tobytes()
-    for name, values in zip(("hashes", "docs", "counts"), kept):
-        table = table.set_column(table.schema.get_field_index(name), name, pa.array(values, pa.binary()))
-    return table
+    """Of one hash range, the rarity of every key, back by slab in the order of the keys."""
+    out, keys = [], []
+    for part, slab, packed, places in zip(*(table.column(c).to_pylist() for c in ("part", "slab", "keys", "places"))):
+        if packed is None:
+            out.append((part, slab, None, places))
+        else:
+            steps = np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+            keys.append((part, slab, np.cumsum(steps, dtype=np.uint64)))
+    if keys:
+        _, which, count = np.unique(np.concatenate([k for _, _, k in keys]), return_inverse=True, return_counts=True)
+        rare, at = rarity(count)[which], 0
+        for part, slab, own in keys:
+            out.append((part, slab, rare[at:at + len(own)].tobytes(), None))
+            at += len(own)
+    return _table(out)
 
 
 def least_share(n: int) -> int:
@@ -103,37 +138,74 @@ def least_share(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def _order(table: pa.Table) -> pa.Table:
-    """Documents of one slab with their shared shingles and rare-first prefixes."""
-    rows = table.to_pylist()
-    info = next(r for r in rows if r["ids"] is not None)
-    join = lambda name, kind: np.frombuffer(b"".join(r[name] or b"" for r in rows), kind)
-    hashes, docs, counts = join("hashes", np.uint64), join("docs", np.uint16), join("counts", np.uint32)
-    order = np.lexsort((hashes, counts, docs))
-    hashes, edges = hashes[order], np.searchsorted(docs[order], np.arange(len(info["ids"]) + 1))
-    alone, prefix, items = [], [], []
-    for n, a, b in zip(info["sizes"], edges[:-1].tolist(), edges[1:].tolist()):
-        single = n - (b - a)
-        length = n - least_share(n) + 1 - single
-        alone.append(single)
-        prefix.append(hashes[a:a + length].view(np.int64) if n and length > 0 else None)
-        items.append(np.sort(hashes[a:b]).tobytes() if n and length > 0 else None)
-    return pa.table({"doc_id": pa.array(info["ids"], pa.int64()), "n": pa.array(info["sizes"], pa.int32()), "mark": pa.array(info["marks"], pa.binary()),
-                     "alone": pa.array(alone, pa.int32()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "items": pa.array(items, pa.binary())})
+def _order(parts: int):
+    """Distinct texts of a slab with their shared shingles and rare-first prefixes."""
+
+    def run(texts: pa.Table, back: pa.Table) -> pa.Table:
+        info = {r["part"]: r["keys"] for r in back.select(["part", "keys"]).to_pylist() if r["keys"] is not None}
+        chosen = [p for p in back.column("places").to_pylist() if p is not None]
+        rows = _texts(texts)
+        picked = [rows[i][1] for i in np.frombuffer(chosen[0], np.uint32).tolist()] if chosen else []
+        found = shingles.sets(picked)
+        keys, order = _keyed(found, parts)
+        rare = np.empty(len(keys), np.uint8)
+        rare[order] = np.frombuffer(b"".join(info[r] for r in sorted(info)), np.uint8)
+        alone, prefix, bits, items, at = [], [], [], [], 0
+        for hashes in found:
+            own = rare[at:at + len(hashes)]
+            at += len(hashes)
+            n, shared = len(hashes), own > 1
+            single = n - int(np.count_nonzero(shared))
+            length = n - least_share(n) + 1 - single
+            alone.append(single)
+            if n and length > 0:
+                hashes, own = hashes[shared], own[shared]
+                prefix.append(hashes[np.argsort(own, kind="stable")[:length]].view(np.int64))
+                bits.append(parity(hashes))
+                items.append(hashes.tobytes())
+            else:
+                prefix.append(None)
+                bits.append(None)
+                items.append(None)
+        return pa.table({"mark": pa.array(map(_mark, picked), pa.binary()), "n": pa.array(map(len, found), pa.int32()), "alone": pa.array(alone, pa.int32()),
+                         "prefix": pa.array(prefix, pa.list_(pa.int64())), "bits": pa.array(bits, pa.list_(pa.int64())), "items": pa.array(items, pa.binary())})
+
+    return run
 
 
 def shared_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: size and 128-bit mark of its set, shingles of its own, and, where a partner is possible, prefix and shared shingles."""
+    """One row per distinct text: its mark, the size of its set, shingles of its own, and, where a partner is possible, prefix and shared shingles."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    slabs = max(1, -(-total // SLAB_BYTES))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * RANGES_PER_PARTITION
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    counted = rows.mapInArrow(_slabs(parts), _BLOB).groupBy("part").applyInArrow(_count, _BLOB)
-    return counted.groupBy("slab").applyInArrow(_order, _DOC)
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.pmod(F.xxhash64(doc_id, text), F.lit(slabs)).alias("slab"), F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"))
+    texts = rows.groupBy("slab")
+    # One row of each text goes on; the choice moves ids and marks only.
+    first = rows.select("slab", "doc_id", mark_of(F.col("text")).alias("mark")).groupBy("mark").agg(F.min(F.struct("slab", "doc_id")).alias("f"))
+    first = first.select("f.slab", "f.doc_id", "mark")
+    sent = texts.cogroup(first.groupBy("slab")).applyInArrow(_send(parts), _ROWS)
+    counted = sent.groupBy("part").applyInArrow(_count, _ROWS)
+    return texts.cogroup(counted.groupBy("slab")).applyInArrow(_order(parts), _DOC)
+
+
+def mark_of(text: Column) -> Column:
+    """128-bit mark of a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+FACTS = ["mark", "n", "alone", "rest", *[f"bits{k}" for k in range(WORDS_OF_BITS)]]
 
 
-def _may_link(n: Column, m: Column, rest: Column, other_rest: Column) -> Column:
-    """Length filter, and positional filter with the shingles left after the shared one."""
+def _may_link() -> Column:
+    """Length filter, positional filter with the shingles left after the shared one, and the least difference of the sets."""
+    n, m = F.col("n"), F.col("n2")
     fits = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
-    return fits & ((1 + F.least(rest, other_rest)) * (100 + PERCENT) >= (n + m) * PERCENT)
+    reach = (1 + F.least("rest", "rest2")) * (100 + PERCENT) >= (n + m) * PERCENT
+    apart = F.col("alone") + F.col("alone2")
+    for k in range(WORDS_OF_BITS):
+        apart = apart + F.bit_count(F.col(f"bits{k}").bitwiseXOR(F.col(f"bits{k}2")))
+    return fits & reach & ((n + m) * (100 - PERCENT) >= apart * (100 + PERCENT))
 
 
 def _far(x: np.ndarray, y: np.ndarray, most: int, depth: int) -> int:
@@ -169,39 +241,71 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _pairs(joined: DataFrame) -> DataFrame:
     """Each pair of classes once."""
-    fit = joined.where((F.col("mark") != F.col("mark2")) & _may_link(F.col("n"), F.col("n2"), F.col("rest"), F.col("rest2")))
-    return fit.select(F.least("mark", "mark2").alias("a"), F.greatest("mark", "mark2").alias("b")).distinct()
+    return joined.select(F.least("mark", "mark2").alias("a"), F.greatest("mark", "mark2").alias("b")).distinct()
+
+
+def _second(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{c}2") for c in df.columns])
 
 
 def links(classes: DataFrame) -> DataFrame:
     """Verified links that connect every two classes which a chain of links connects."""
-    rows = cut(classes.select("mark", "n", F.posexplode("prefix").alias("at", "shingle"), "alone").select(
-        "shingle", "mark", "n", (F.col("n") - F.col("alone") - F.col("at") - 1).alias("rest")))
-    renamed = lambda df: df.select(*[F.col(c).alias(f"{c}2") for c in df.columns])
+    rows = classes.select("mark", "n", F.posexplode("prefix").alias("at", "shingle"), "alone", *[F.col("bits")[k].alias(f"bits{k}") for k in range(WORDS_OF_BITS)])
+    rows = cut(rows.select("shingle", *[(F.col("n") - F.col("alone") - F.col("at") - 1).alias("rest") if c == "rest" else c for c in FACTS]))
+
+    pivots = rows.groupBy("shingle").agg(F.min_by(F.struct(*FACTS), F.xxhash64("shingle", "mark")).alias("p"), F.count(F.lit(1)).alias("c"))
+    pivots = _second(pivots.where("c > 1").select("shingle", "p.*"))
+    met = rows.join(pivots, (F.col("shingle") == F.col("shingle2")) & (F.col("mark") != F.col("mark2")) & _may_link())
+    first = cut(verified(_pairs(met), classes))
+
+    open_rows, outside = _open(rows, first)
+    # Of the largest component, some classes of each shingle by the hash of class and shingle.
+    some = open_rows.where("label = main").groupBy("shingle", F.pmod(F.xxhash64("mark"), F.lit(PIVOTS))).agg(
+        F.min_by(F.struct(*FACTS), F.xxhash64("mark", "shingle")).alias("p"))
+    met = outside.join(_second(some.select("shingle", "p.*")), (F.col("shingle") == F.col("shingle2")) & _may_link())
+    more = cut(first.union(verified(_pairs(met), classes)))
 
-    pivots = rows.groupBy("shingle").agg(F.min_by(F.struct("mark", "n", "rest"), F.xxhash64("shingle", "mark")).alias("p"), F.count(F.lit(1)).alias("c"))
-    pivots = pivots.where("c > 1").select(F.col("shingle").alias("s"), F.col("p.mark").alias("mark2"), F.col("p.n").alias("n2"), F.col("p.rest").alias("rest2"))
-    first = cut(verified(_pairs(rows.join(pivots, F.col("shingle") == F.col("s"))), classes))
+    open_rows, outside = _open(rows, more)
+    crossing = outside.join(_second(open_rows), (F.col("shingle") == F.col("shingle2")) & (F.col("label") != F.col("label2")) & _may_link())
+    return more.union(cut(verified(_pairs(crossing), classes)))
 
-    labels = cut(components(first, "a", "b"))
+
+def _open(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of shingles whose classes lie in several components, and those of them outside the shingle's largest one."""
+    labels = cut(components(found, "a", "b"))
     placed = cut(rows.join(labels.withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("label", "mark")))
     sizes = placed.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("shingle").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     open_rows = cut(placed.join(main, "shingle"))
-    outside = renamed(open_rows.where("label <> main"))
-    crossing = open_rows.join(outside, (F.col("shingle") == F.col("shingle2")) & (F.col("label") != F.col("label2"))
-                              & _may_link(F.col("n"), F.col("n2"), F.col("rest"), F.col("rest2")))
-    return first.union(cut(verified(_pairs(crossing), classes)))
+    return open_rows, open_rows.where("label <> main")
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per input row: ``doc_id``, ``n`` shingles, ``mark`` of its set and ``component_id``."""
+    """One row per input row: ``doc_id``, ``n`` shingles, ``mark`` of its text and ``component_id``."""
     found = cut(shared_sets(docs, text, doc_id))
-    classes = cut(found.where("prefix is not null").groupBy("mark").agg(
-        F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("prefix").alias("prefix"), F.first("items").alias("items")))
-    labels = components(links(classes), "a", "b").select(F.col("node").alias("_node"), "label")
-    rows = found.select("doc_id", "n", "mark").join(labels, F.col("mark") == F.col("_node"), "left").select(
-        "doc_id", "n", "mark", F.coalesce("label", "mark").alias("label"))
+    labels = components(links(found.where("prefix is not null")), "a", "b").select(F.col("node").alias("_node"), "label")
+    texts = found.select(F.col("mark").alias("_mark"), "n").join(labels, F.col("_mark") == F.col("_node"), "left").select(
+        "_mark", "n", F.coalesce("label", "_mark").alias("label"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark_of(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
+    rows = rows.join(texts, F.col("mark") == F.col("_mark")).drop("_mark")
     least = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("_least")).select(F.col("label").alias("_label"), "_least")
     return rows.join(least, (F.col("label") == F.col("_label")) & (F.col("n") > 0), "left").select(
         "doc_id", "n", "mark", F.coalesce("_least", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each component, the one with the least id; the columns are those of the input.
+
+    Rows without shingles all stay. Of rows with equal id and component (repeated
+    rows, or null ids) the one with the least text mark stays, and one of equal ones.
+    """
+    found = join(docs, text, doc_id)
+    best = found.where("n > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("b"))
+    keys = lambda x, mark: [F.coalesce(x, F.lit(0)).alias("_key"), x.isNull().alias("_none"), mark.alias("_mark")]
+    keep = best.select(*keys(F.col("b.doc_id"), F.col("b.mark"))).distinct().withColumn("_keep", F.lit(True))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.struct("*").alias("_row"), *keys(F.col(doc_id).cast("long"), mark_of(body)), (~body.rlike(r"[^ \t-\r]")).alias("_empty"))
+    # Join and window need the same partitioning, so texts move once.
+    turn = Window.partitionBy("_key", "_none", "_mark").orderBy("_empty")
+    rows = rows.join(keep, ["_key", "_none", "_mark"], "left").withColumn("_turn", F.row_number().over(turn))
+    return rows.where(F.col("_empty") | (F.col("_keep") & (F.col("_turn") == 1))).select("_row.*")
