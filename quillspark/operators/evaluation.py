@@ -99,6 +99,13 @@ def ablation(metrics: DataFrame) -> DataFrame:
         F.round(F.avg("recall5"), 4).alias("recall5"), F.round(F.avg("mrr"), 4).alias("mrr"))
 
 
+def dataset_averages(metrics: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """Per system the mean of the datasets' means, so that a small dataset counts as much as a large one."""
+    names = ("recall3", "recall5", "mrr")
+    each = metrics.groupBy(dataset, "system").agg(*[F.avg(n).alias(n) for n in names])
+    return each.groupBy("system").agg(F.count("*").alias("datasets"), *[F.round(F.avg(n), 4).alias(n) for n in names])
+
+
 def improvement_pct(after: Column, before: Column) -> Column:
     return F.round((after - before) / F.greatest(before, F.lit(0.001)) * 100, 1)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions import scoring as sc, text as tx
 from quillspark.operators import diversity, fusion
@@ -56,6 +56,9 @@ def library_candidates(prepared: DataFrame, chunks: DataFrame, k: int = 5) -> Da
     """Best fused score of every chunk over the question's variants, boosted and filtered."""
     outer = fusion.expand(prepared.withColumn(
         "query_type", F.when(F.col("qtype") == "explanation", "analytical").otherwise("factual")))
+    # Variants that differ in case only are asked once, by the first.
+    same = Window.partitionBy("query_id", F.lower("variant_text")).orderBy("variant")
+    outer = outer.withColumn("_turn", F.row_number().over(same)).where("_turn = 1").drop("_turn")
     inner = outer.select(
         F.concat_ws("\x1e", F.col("query_id").cast("string"), F.col("variant").cast("string")).alias("_vq"),
         F.col("query_id").alias("_q"), F.col("variant_text").alias("query"),

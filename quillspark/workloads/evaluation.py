@@ -103,6 +103,13 @@ def system_ablation(spark, sf_dir):
     return ev.ablation(metrics(spark, sf_dir).where("n_gold > 0"))
 
 
+@bound("dataset_averages", f"""with {EVAL_SQL}, d as (select query_id % 2 as dataset, system, avg(recall3) as a, avg(recall5) as b, avg(mrr) as c
+    from met where n_gold > 0 group by all)
+select system, count(*) as datasets, round(avg(a), 4) as recall3, round(avg(b), 4) as recall5, round(avg(c), 4) as mrr from d group by system""")
+def dataset_averages(spark, sf_dir):
+    return ev.dataset_averages(metrics(spark, sf_dir).where("n_gold > 0").withColumn("dataset", F.col("query_id") % 2))
+
+
 @bound("ablation_with_pseudo_gold", f"""with {EVAL_SQL}, {RERANK_SQL},
 pg as (select query_id, chunk_id, false as circular from gold union all
     select query_id, chunk_id, true from hyb where query_id not in (select query_id from gold)),

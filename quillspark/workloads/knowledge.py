@@ -399,6 +399,19 @@ def shuffled_questions(spark, sf_dir):
     return mixed.select("doc_id", "ord", F.array_join("q.options", " / ").alias("options"), "q.correct_answer")
 
 
+@bound("study_material_checks", f"""with w as (select doc_id, {sql.words('text')} as w from documents)
+select doc_id, len(w) >= 46 and 20 + doc_id % 7 <= 24 as cards_ok, least(len(w), 3 + doc_id % 6) between 5 and 7 and doc_id % 5 <> 0 as summary_ok from w""")
+def study_material_checks(spark, sf_dir):
+    """Ten cards and a summary cut from each document's words, some too long, too few or unexplained."""
+    rows = documents(spark, sf_dir).select("doc_id", tx.words(F.coalesce("text", F.lit(""))).alias("w"))
+    part = lambda at, n: F.array_join(F.slice("w", at, n), " ")
+    cards = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct(
+        part(i * 3 + 1, F.lit(3)).alias("front"), part(i * 5 + 1, (F.col("doc_id") % 7 + 20).cast("int")).alias("back")))
+    bullets = F.slice("w", F.lit(1), (F.col("doc_id") % 6 + 3).cast("int"))
+    return rows.select("doc_id", quiz.accepted_flashcards(cards).alias("cards_ok"),
+                       quiz.accepted_summary(bullets, F.when(F.col("doc_id") % 5 != 0, "why").otherwise(" ")).alias("summary_ok"))
+
+
 # --- responses ---------------------------------------------------------------------------------
 
 def raw_responses(spark, sf_dir) -> DataFrame:
