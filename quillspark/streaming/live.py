@@ -7,6 +7,7 @@ watermark are dropped, which is the one difference to the batch operators.
 from __future__ import annotations
 
 import datetime as dt
+from bisect import insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,17 +46,18 @@ def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         return
     used = state.get[0] if state.exists else 0
     limit = FREE_LIMITS.get(kind)
-    frames = [b for b in batches]
-    rows = pd.concat(frames).sort_values(["ts", "event_id"]) if frames else pd.DataFrame()
-    out = []
-    for tier, event in zip(rows.get("tier", []), rows.get("event_id", [])):
-        if limit is None or (tier or "free").strip().lower() != "free":
-            out.append((event, "uncounted"))
-        elif used < limit:
-            used += 1
-            out.append((event, "allowed"))
-        else:
-            out.append((event, "denied"))
+    # The earliest requests that still fit, the latest of them on top; a batch at a time.
+    room, first, out = (limit or 0) - used, [], []
+    for batch in batches:
+        for tier, ts, event in zip(batch["tier"], batch["ts"], batch["event_id"]):
+            if limit is None or (tier or "free").strip().lower() != "free":
+                out.append((event, "uncounted"))
+                continue
+            insort(first, (ts, event))
+            if len(first) > max(room, 0):
+                out.append((first.pop()[1], "denied"))
+    used += len(first)
+    out += [(event, "allowed") for _, event in first]
     state.update((used,))
     end = dt.datetime.combine(day, dt.time(), dt.timezone.utc) + dt.timedelta(days=1)
     state.setTimeoutTimestamp(max(int(end.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
@@ -76,7 +78,7 @@ def live_quota(requests: DataFrame, lateness: str = DAY) -> DataFrame:
         _decide, DECISIONS, "used int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-TOPIC_STATE = "correct bigint, total bigint, history array<boolean>"
+TOPIC_STATE = "correct bigint, total bigint, history array<struct<ts: timestamp, event_id: bigint, ok: boolean>>"
 TOPIC_ROWS = "user_id bigint, subject string, topic string, correct bigint, total bigint, direction string, improvement double"
 
 
@@ -91,14 +93,14 @@ def trend_of(history: list[bool]) -> tuple[str, float]:
 def _topic(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Counters and the last fifty answers of one (user, subject, topic)."""
     correct, total, history = state.get if state.exists else (0, 0, [])
-    history, recent = list(history), []
+    # A late answer takes its place in time, whichever trigger brings it.
+    recent = [(h["ts"], h["event_id"], h["ok"]) for h in history]
     for batch in batches:
         correct += int(batch["is_correct"].sum())
         total += len(batch)
-        recent += list(zip(batch["ts"], batch["event_id"], batch["is_correct"]))
-        recent = sorted(recent)[-50:]
-    history = (history + [bool(ok) for _, _, ok in recent])[-50:]
-    state.update((correct, total, history))
+        recent = sorted([*recent, *zip(batch["ts"].dt.to_pydatetime() if len(batch) else [], map(int, batch["event_id"]), map(bool, batch["is_correct"]))])[-50:]
+    state.update((correct, total, recent))
+    history = [ok for _, _, ok in recent]
     direction, change = trend_of(history)
     yield pd.DataFrame([(*key, correct, total, direction, change)], columns=[
         "user_id", "subject", "topic", "correct", "total", "direction", "improvement"])

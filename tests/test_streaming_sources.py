@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -61,6 +62,20 @@ def test_quota_equals_batch(spark, log, tmp_path):
     assert sorted((r.event_id, r.decision) for r in rows.collect()) == sorted((r.event_id, r.decision) for r in batch.collect())
 
 
+def test_late_answers_take_their_place_in_time(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    first = [(1, "s", "t", i >= 30, start + dt.timedelta(minutes=i + 10), i) for i in range(60)]
+    late = [(1, "s", "t", True, start + dt.timedelta(minutes=i), 100 + i) for i in range(8)]
+    answers = spark.createDataFrame(first + late, "user_id bigint, subject string, topic string, is_correct boolean, ts timestamp, event_id bigint")
+    for part in (answers.where("event_id < 100"), answers.where("event_id >= 100")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(answers.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = drain(live.live_topics(stream), "late_topics", "update", tmp_path / "cp").collect()
+    found = max(rows, key=lambda r: r.total)
+    wanted = learning.all_topics(answers, ["ts", "event_id"]).first()
+    assert (found.correct, found.total, found.direction, round(found.improvement, 2)) == (wanted.correct, wanted.total, wanted.direction, wanted.improvement)
+
+
 def test_topics_equal_batch(spark, log, tmp_path):
     answers = log.select(F.col("user_id") % 4, F.lit("s"), (F.col("k") % 2).cast("string"), F.col("k") % 3 > 0, "ts", "event_id").toDF(
         "user_id", "subject", "topic", "is_correct", "ts", "event_id")
