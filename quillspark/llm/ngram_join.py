@@ -281,7 +281,10 @@ def _open(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per input row: ``doc_id``, ``n`` shingles, ``mark`` of its text and ``component_id``."""
+    """One row per input row: ``doc_id``, ``n`` shingles, ``mark`` of its text, ``component_id`` and the component's own ``label``.
+
+    The label tells components apart; ids do not where they are null or stand on unlike texts.
+    """
     found = cut(shared_sets(docs, text, doc_id))
     labels = components(links(found.where("prefix is not null")), "a", "b").select(F.col("node").alias("_node"), "label")
     texts = found.select(F.col("mark").alias("_mark"), "n").join(labels, F.col("_mark") == F.col("_node"), "left").select(
@@ -290,17 +293,18 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     rows = rows.join(texts, F.col("mark") == F.col("_mark")).drop("_mark")
     least = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("_least")).select(F.col("label").alias("_label"), "_least")
     return rows.join(least, (F.col("label") == F.col("_label")) & (F.col("n") > 0), "left").select(
-        "doc_id", "n", "mark", F.coalesce("_least", "doc_id").alias("component_id"))
+        "doc_id", "n", "mark", F.coalesce("_least", "doc_id").alias("component_id"), "label")
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each component, the one with the least id; the columns are those of the input.
 
-    Rows without shingles all stay. Of rows with equal id and component (repeated
+    Rows without shingles all stay. Of rows with equal id in one component (repeated
     rows, or null ids) the one with the least text mark stays, and one of equal ones.
+    Components are told apart by their label, so unlike texts with null or equal ids all stay.
     """
     found = join(docs, text, doc_id)
-    best = found.where("n > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("b"))
+    best = found.where("n > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("b"))
     keys = lambda x, mark: [F.coalesce(x, F.lit(0)).alias("_key"), x.isNull().alias("_none"), mark.alias("_mark")]
     keep = best.select(*keys(F.col("b.doc_id"), F.col("b.mark"))).distinct().withColumn("_keep", F.lit(True))
     body = F.coalesce(F.col(text), F.lit(""))

@@ -145,6 +145,17 @@ def test_representatives_keep_one_of_each_component(docs):
     assert kept.where("text is null or trim(text, ' \\n\\t') = ''").count() == docs.where("text is null or trim(text, ' \\n\\t') = ''").count()
 
 
+def test_representatives_tell_components_apart_by_label(spark):
+    rng = random.Random(21)
+    texts = [sentence(rng, 40) for _ in range(5)]
+    near = texts[0] + " tail"
+    rows = [(None, texts[0]), (None, near), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[4]), (None, texts[4])]
+    kept = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = [(r["doc_id"], r["text"]) for r in kept]
+    assert sum(r in [(None, texts[0]), (None, near)] for r in found) == 1
+    assert ordered(r for r in found if r[1] not in (texts[0], near)) == ordered([(None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4])])
+
+
 def test_far_is_a_lower_bound():
     import numpy as np
     rng = random.Random(4)
