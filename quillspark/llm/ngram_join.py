@@ -1,7 +1,7 @@
 """N-gram Jaccard join: linked documents as components, by rare-first prefix filtering.
 
 1. Texts are dealt into slabs by hash; one row of each text goes on, so copies
-   are one class. A slab turns its texts into sets of 4-word shingle hashes and
+   are one class. A slab turns its texts into sets of word shingle hashes and
    sends sorted 32-bit keys of them to hash ranges, packed in one row per slab
    and range.
 2. Each hash range counts in how many texts a key occurs and answers with one
@@ -9,7 +9,7 @@
    below stays the same for all texts.
 3. The slab orders the shingles of a text by frequency, ties by hash. With ``n``
    shingles, two texts can only reach the threshold if they share one of their
-   first ``n - ceil(0.85 n) + 1``. Shingles of one text come first in that order:
+   first ``n - ceil(share n) + 1``. Shingles of one text come first in that order:
    whoever has enough of them has no partner and is done.
 4. Texts are joined on prefix shingles with the length filter (sizes within the
    threshold), the positional filter (overlap still possible after the shared
@@ -22,12 +22,15 @@
    it; those still outside are paired with all other components of the shingle.
    A pair inside a component adds nothing, so no link is lost.
 
+``width`` is the number of words of a shingle and ``percent`` the least Jaccard
+share of a link; they are 4 and 85 unless given.
+
 Shingles are compared by 64-bit hashes, texts by 128-bit hashes. Texts are
 shuffled once; both steps that read them reuse that exchange and put a slab in
 order by id and text, so a repeated task finds the same places.
 
 Defined results: null and empty texts have no shingles and are linked with
-nothing; 1 to 3 words are one shingle; a null id takes part and the component's
+nothing; fewer words than a shingle has are one shingle; a null id takes part and the component's
 id is the smallest that is not null; repeated rows are linked; other columns are
 not read.
 """
@@ -77,7 +80,7 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA) if rows else _SCHEMA.empty_table()
 
 
-def _send(parts: int):
+def _send(parts: int, width: int):
     """Sorted keys of the slab's distinct texts, by hash range, and which rows those texts are."""
 
     def run(texts: pa.Table, first: pa.Table) -> pa.Table:
@@ -90,7 +93,7 @@ def _send(parts: int):
             if (doc_id, mark := _mark(text)) in wanted:
                 wanted.remove((doc_id, mark))
                 chosen.append(i)
-        keys, order = _keyed(shingles.sets([rows[i][1] for i in chosen]), parts)
+        keys, order = _keyed(shingles.sets([rows[i][1] for i in chosen], width), parts)
         keys = keys[order]
         edges = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)).tolist()
         out = [(slab % parts, slab, None, np.array(chosen, np.uint32).tobytes())]
@@ -133,12 +136,12 @@ def _count(table: pa.Table) -> pa.Table:
     return _table(out)
 
 
-def least_share(n: int) -> int:
+def least_share(n: int, percent: int = PERCENT) -> int:
     """Shingles a partner shares at least with a set of ``n``."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
-def _order(parts: int):
+def _order(parts: int, width: int, percent: int):
     """Distinct texts of a slab with their shared shingles and rare-first prefixes."""
 
     def run(texts: pa.Table, back: pa.Table) -> pa.Table:
@@ -146,7 +149,7 @@ def _order(parts: int):
         chosen = [p for p in back.column("places").to_pylist() if p is not None]
         rows = _texts(texts)
         picked = [rows[i][1] for i in np.frombuffer(chosen[0], np.uint32).tolist()] if chosen else []
-        found = shingles.sets(picked)
+        found = shingles.sets(picked, width)
         keys, order = _keyed(found, parts)
         rare = np.empty(len(keys), np.uint8)
         rare[order] = np.frombuffer(b"".join(info[r] for r in sorted(info)), np.uint8)
@@ -156,7 +159,7 @@ def _order(parts: int):
             at += len(hashes)
             n, shared = len(hashes), own > 1
             single = n - int(np.count_nonzero(shared))
-            length = n - least_share(n) + 1 - single
+            length = n - least_share(n, percent) + 1 - single
             alone.append(single)
             if n and length > 0:
                 hashes, own = hashes[shared], own[shared]
@@ -173,7 +176,7 @@ def _order(parts: int):
     return run
 
 
-def shared_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def shared_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = shingles.WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per distinct text: its mark, the size of its set, shingles of its own, and, where a partner is possible, prefix and shared shingles."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     slabs = max(1, -(-total // SLAB_BYTES))
@@ -184,9 +187,9 @@ def shared_sets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     # One row of each text goes on; the choice moves ids and marks only.
     first = rows.select("slab", "doc_id", mark_of(F.col("text")).alias("mark")).groupBy("mark").agg(F.min(F.struct("slab", "doc_id")).alias("f"))
     first = first.select("f.slab", "f.doc_id", "mark")
-    sent = texts.cogroup(first.groupBy("slab")).applyInArrow(_send(parts), _ROWS)
+    sent = texts.cogroup(first.groupBy("slab")).applyInArrow(_send(parts, width), _ROWS)
     counted = sent.groupBy("part").applyInArrow(_count, _ROWS)
-    return texts.cogroup(counted.groupBy("slab")).applyInArrow(_order(parts), _DOC)
+    return texts.cogroup(counted.groupBy("slab")).applyInArrow(_order(parts, width, percent), _DOC)
 
 
 def mark_of(text: Column) -> Column:
@@ -197,15 +200,15 @@ def mark_of(text: Column) -> Column:
 FACTS = ["mark", "n", "alone", "rest", *[f"bits{k}" for k in range(WORDS_OF_BITS)]]
 
 
-def _may_link() -> Column:
+def _may_link(percent: int) -> Column:
     """Length filter, positional filter with the shingles left after the shared one, and the least difference of the sets."""
     n, m = F.col("n"), F.col("n2")
-    fits = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
-    reach = (1 + F.least("rest", "rest2")) * (100 + PERCENT) >= (n + m) * PERCENT
+    fits = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    reach = (1 + F.least("rest", "rest2")) * (100 + percent) >= (n + m) * percent
     apart = F.col("alone") + F.col("alone2")
     for k in range(WORDS_OF_BITS):
         apart = apart + F.bit_count(F.col(f"bits{k}").bitwiseXOR(F.col(f"bits{k}2")))
-    return fits & reach & ((n + m) * (100 - PERCENT) >= apart * (100 + PERCENT))
+    return fits & reach & ((n + m) * (100 - percent) >= apart * (100 + percent))
 
 
 def _far(x: np.ndarray, y: np.ndarray, most: int, depth: int) -> int:
@@ -221,22 +224,27 @@ def _far(x: np.ndarray, y: np.ndarray, most: int, depth: int) -> int:
     return left + (_far(x[cut_x:], y[cut_y:], most - left, depth - 1) if left + sides[1] <= most else sides[1])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        linked = []
-        for x, y, n, m, one, other in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m", "alone_x", "alone_y"))):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            need = -(-PERCENT * (n + m) // (100 + PERCENT))
-            most = n + m - 2 * need - one - other
-            linked.append(most >= 0 and _far(x, y, most, SUFFIX_DEPTH) <= most and len(np.intersect1d(x, y, assume_unique=True)) >= need)
-        yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+def _verify(percent: int):
+    """Keeps the pairs of a batch whose sets reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y, n, m, one, other in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m", "alone_x", "alone_y"))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                need = -(-percent * (n + m) // (100 + percent))
+                most = n + m - 2 * need - one - other
+                linked.append(most >= 0 and _far(x, y, most, SUFFIX_DEPTH) <= most and len(np.intersect1d(x, y, assume_unique=True)) >= need)
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return run
 
 
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (``a``, ``b``) of classes whose sets reach the threshold."""
     side = lambda a, n, alone, x: classes.select(F.col("mark").alias(a), F.col("n").alias(n), F.col("alone").alias(alone), F.col("items").alias(x))
     both = pairs.join(side("a", "n", "alone_x", "x"), "a").join(side("b", "m", "alone_y", "y"), "b")
-    return both.mapInArrow(_verify, "a binary, b binary")
+    return both.mapInArrow(_verify(percent), "a binary, b binary")
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -248,26 +256,26 @@ def _second(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{c}2") for c in df.columns])
 
 
-def links(classes: DataFrame) -> DataFrame:
+def links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Verified links that connect every two classes which a chain of links connects."""
     rows = classes.select("mark", "n", F.posexplode("prefix").alias("at", "shingle"), "alone", *[F.col("bits")[k].alias(f"bits{k}") for k in range(WORDS_OF_BITS)])
     rows = cut(rows.select("shingle", *[(F.col("n") - F.col("alone") - F.col("at") - 1).alias("rest") if c == "rest" else c for c in FACTS]))
 
     pivots = rows.groupBy("shingle").agg(F.min_by(F.struct(*FACTS), F.xxhash64("shingle", "mark")).alias("p"), F.count(F.lit(1)).alias("c"))
     pivots = _second(pivots.where("c > 1").select("shingle", "p.*"))
-    met = rows.join(pivots, (F.col("shingle") == F.col("shingle2")) & (F.col("mark") != F.col("mark2")) & _may_link())
-    first = cut(verified(_pairs(met), classes))
+    met = rows.join(pivots, (F.col("shingle") == F.col("shingle2")) & (F.col("mark") != F.col("mark2")) & _may_link(percent))
+    first = cut(verified(_pairs(met), classes, percent))
 
     open_rows, outside = _open(rows, first)
     # Of the largest component, some classes of each shingle by the hash of class and shingle.
     some = open_rows.where("label = main").groupBy("shingle", F.pmod(F.xxhash64("mark"), F.lit(PIVOTS))).agg(
         F.min_by(F.struct(*FACTS), F.xxhash64("mark", "shingle")).alias("p"))
-    met = outside.join(_second(some.select("shingle", "p.*")), (F.col("shingle") == F.col("shingle2")) & _may_link())
-    more = cut(first.union(verified(_pairs(met), classes)))
+    met = outside.join(_second(some.select("shingle", "p.*")), (F.col("shingle") == F.col("shingle2")) & _may_link(percent))
+    more = cut(first.union(verified(_pairs(met), classes, percent)))
 
     open_rows, outside = _open(rows, more)
-    crossing = outside.join(_second(open_rows), (F.col("shingle") == F.col("shingle2")) & (F.col("label") != F.col("label2")) & _may_link())
-    return more.union(cut(verified(_pairs(crossing), classes)))
+    crossing = outside.join(_second(open_rows), (F.col("shingle") == F.col("shingle2")) & (F.col("label") != F.col("label2")) & _may_link(percent))
+    return more.union(cut(verified(_pairs(crossing), classes, percent)))
 
 
 def _open(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -280,13 +288,13 @@ def _open(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return open_rows, open_rows.where("label <> main")
 
 
-def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = shingles.WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per input row: ``doc_id``, ``n`` shingles, ``mark`` of its text, ``component_id`` and the component's own ``label``.
 
     The label tells components apart; ids do not where they are null or stand on unlike texts.
     """
-    found = cut(shared_sets(docs, text, doc_id))
-    labels = components(links(found.where("prefix is not null")), "a", "b").select(F.col("node").alias("_node"), "label")
+    found = cut(shared_sets(docs, text, doc_id, width, percent))
+    labels = components(links(found.where("prefix is not null"), percent), "a", "b").select(F.col("node").alias("_node"), "label")
     texts = found.select(F.col("mark").alias("_mark"), "n").join(labels, F.col("_mark") == F.col("_node"), "left").select(
         "_mark", "n", F.coalesce("label", "_mark").alias("label"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark_of(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
@@ -296,14 +304,14 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
         "doc_id", "n", "mark", F.coalesce("_least", "doc_id").alias("component_id"), "label")
 
 
-def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = shingles.WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row of each component, the one with the least id; the columns are those of the input.
 
     Rows without shingles all stay. Of rows with equal id in one component (repeated
     rows, or null ids) the one with the least text mark stays, and one of equal ones.
     Components are told apart by their label, so unlike texts with null or equal ids all stay.
     """
-    found = join(docs, text, doc_id)
+    found = join(docs, text, doc_id, width, percent)
     best = found.where("n > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("b"))
     keys = lambda x, mark: [F.coalesce(x, F.lit(0)).alias("_key"), x.isNull().alias("_none"), mark.alias("_mark")]
     keep = best.select(*keys(F.col("b.doc_id"), F.col("b.mark"))).distinct().withColumn("_keep", F.lit(True))

@@ -37,9 +37,9 @@ def shingles(text, width=4):
     return frozenset([tuple(words[i:i + width]) for i in range(len(words) - width + 1)] or ([tuple(words)] if words else []))
 
 
-def components(rows):
+def components(rows, width=4, percent=85):
     """Set size and component id per row (id, text), by comparing all pairs."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, width) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -50,7 +50,7 @@ def components(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if both and 100 * both >= 85 * (len(a) + len(sets[j]) - both):
+            if both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
                 parent[root(i)] = root(j)
     least = {}
     for i, (doc_id, _) in enumerate(rows):

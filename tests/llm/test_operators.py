@@ -156,6 +156,26 @@ def test_representatives_tell_components_apart_by_label(spark):
     assert ordered(r for r in found if r[1] not in (texts[0], near)) == ordered([(None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4])])
 
 
+def test_near_duplicate_stage_takes_five_words_and_80_percent(spark):
+    rng = random.Random(22)
+    rows, edits = [], {100: 1, 46: 1, 60: 1, 200: 3}
+    for n, k in edits.items():
+        base = [f"w{n}x{i}" for i in range(n)]
+        copy = list(base)
+        for i in range(k):
+            copy[(i + 1) * n // (k + 1)] = "changed"
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    base = [f"y{i}" for i in range(70)]
+    rows += [(50, " ".join(base)), (51, " ".join(base[:30] + ["a", "b", "c"] + base[33:])), (52, sentence(rng, 40))]
+    wide, narrow = brute.components(rows, 5, 80), brute.components(rows)
+    assert wide != narrow
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.join(table, width=5, percent=80).collect()
+    assert ordered((r["doc_id"], r["n"], r["component_id"]) for r in found) == ordered((i, *c) for (i, _), c in zip(rows, wide))
+    kept = corpus_pipeline.drop_near_duplicates(spark, table, "").collect()
+    assert {r["doc_id"] for r in kept} == {c for _, c in wide} != {c for _, c in narrow}
+
+
 def test_far_is_a_lower_bound():
     import numpy as np
     rng = random.Random(4)
