@@ -70,8 +70,9 @@ def distance(a, b):
     return row[-1]
 
 
-def line_states(docs, edits, least):
-    """States of the lines of documents (id, text), in document order."""
+def line_states(docs, edits, least, allowed=None):
+    """States of the lines of documents (id, text), in document order; ``allowed`` gives the edits by the shorter line's length."""
+    most = allowed or (lambda n: edits)
     first = {}
     for doc_id, text in docs:
         for place, line in enumerate((text or "").split("\n")):
@@ -81,7 +82,8 @@ def line_states(docs, edits, least):
     long = [line for line in first if len(line) >= least]
     for i, a in enumerate(long):
         for b in long[:i]:
-            if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+            t = most(min(len(a), len(b)))
+            if abs(len(a) - len(b)) <= t and distance(a, b) <= t:
                 near.add(max(a, b, key=lambda x: first[x]))
     return {doc_id: [(p, "exact" if first[x] != (doc_id, p) else "near" if x in near else "first")
                      for p, x in enumerate((text or "").split("\n")) if WORD.search(x)] for doc_id, text in docs}

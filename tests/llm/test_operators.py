@@ -254,6 +254,27 @@ def test_line_states_match_all_pairs(spark, docs, empty):
     assert line_dedup.deduplicate(empty).count() == 0
 
 
+def test_allowed_edits_grow_with_the_line(spark):
+    rng = random.Random(23)
+    lines = []
+    for n in [20, 24, 27, 28, 33, 39, 40, 41, 54, 55, 58, 74, 75, 76, 99, 100, 101, 150, 165, 203, 338, 599, 601, 624]:
+        base = (sentence(rng, 3 + n // 4))[:n]
+        for _ in range(6 if n < 110 else 2):
+            line = list(base)
+            for _ in range(max(0, line_dedup.allowed(n) + rng.randrange(-2, 2))):
+                at = rng.randrange(len(line) + 1)
+                line[at:at + rng.randrange(2)] = rng.choices("abé", k=rng.randrange(2))
+            lines.append("".join(line))
+    word = sentence(rng, 22)
+    lines += [word, word.replace(word.split()[9], "another")]
+    rng.shuffle(lines)
+    rows = [(i, line) for i, line in enumerate(lines)]
+    found = {r["doc_id"]: [tuple(x) for x in r["lines"]] for r in line_dedup.verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wanted = brute.line_states(rows, None, line_dedup.MIN_NEAR, line_dedup.allowed)
+    assert found == wanted
+    assert wanted != brute.line_states(rows, 2, 40)
+
+
 # -- quality rules ----------------------------------------------------------------------
 
 def test_counts_match_plain_ones(docs, empty):
