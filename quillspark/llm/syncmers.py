@@ -7,9 +7,14 @@ fingerprint is the list of anchors in text order; places are kept beside them
 for positional matching (``shift``). Likeness is the Dice share of the anchors
 that two texts have in common.
 
-Defined results: words are runs without blanks and controls 9 to 13; a text with
-one to four words has one anchor of its whole text, a text without words has
-none; two texts without anchors are alike by 1, one without by 0; repeated
+A text of fewer words, or of words of ``LONG_WORD`` code points and more on
+average (scripts without blanks), takes windows of ``WORDS`` pairs of adjacent
+code points instead, its blanks as one each. Where no window is an anchor, the one
+of least hash is, so every text with a word has an anchor.
+
+Defined results: words are runs without blanks and controls 9 to 13; a text too
+short for a window of either kind has one anchor of its whole text, a text without
+words has none; places count words, or code points where those are taken; two texts without anchors are alike by 1, one without by 0; repeated
 anchors count once; equal texts have equal fingerprints.
 
 ``following`` gives every row its next row by id without sorting the table in
@@ -26,24 +31,34 @@ from quillspark.functions.text import bind
 from quillspark.operators.ordered import last_before
 
 WORDS = 5
+LONG_WORD = 20
 BUCKET_BITS = 6
 SPACES = r"[ \t-\r]+"
 
 
+def units(words: Column) -> Column:
+    """Hashes of the words, or of pairs of code points where words are too few or too long."""
+    body = F.array_join(words, " ")
+    chars = F.filter(F.split(body, ""), lambda c: c != "")
+    pairs = bind(chars, lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0))), lambda i: F.hash(F.get(c, i), F.get(c, i + 1))))
+    return F.when((F.size(words) < WORDS) | (F.length(body) >= LONG_WORD * F.size(words)), pairs).otherwise(F.transform(words, lambda w: F.hash(w)))
+
+
 def anchors(text: Column) -> Column:
-    """Places (in words) and 32-bit hashes of the closed syncmers of a text."""
-    hashes = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != ""), lambda w: F.hash(w))
+    """Places (in words or code points) and 32-bit hashes of the closed syncmers of a text."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
     def closed(h: Column) -> Column:
         at = lambda i, k: F.get(h, i + k)
-        windows = F.filter(F.sequence(F.lit(0), F.size(h) - WORDS), lambda i: F.least(at(i, 0), at(i, WORDS - 1)) <= F.least(
-            *[at(i, k) for k in range(1, WORDS - 1)]))
-        return F.when(F.size(h) >= WORDS, F.transform(windows, lambda i: F.struct(
-            i.alias("place"), F.hash(*[at(i, k) for k in range(WORDS)]).alias("hash")))).when(
-            F.size(h) > 0, F.array(F.struct(F.lit(0).alias("place"), F.hash(text).alias("hash")))).otherwise(
-            F.array().cast("array<struct<place:int,hash:int>>"))
-
-    return bind(hashes, closed)
+        every = F.sequence(F.lit(0), F.size(h) - WORDS)
+        window = lambda i: F.hash(*[at(i, k) for k in range(WORDS)])
+        windows = F.filter(every, lambda i: F.least(at(i, 0), at(i, WORDS - 1)) <= F.least(*[at(i, k) for k in range(1, WORDS - 1)]))
+        least = F.array_min(F.transform(every, lambda i: F.struct(window(i).alias("hash"), i.alias("place"))))
+        chosen = bind(windows, lambda w: F.when(F.size(w) > 0, w).otherwise(F.array(least["place"])))
+        return F.when(F.size(h) >= WORDS, F.transform(chosen, lambda i: F.struct(i.alias("place"), window(i).alias("hash")))).otherwise(
+            F.array(F.struct(F.lit(0).alias("place"), F.hash(text).alias("hash"))))
+
+    return bind(words, lambda w: F.when(F.size(w) > 0, bind(units(w), closed)).otherwise(F.array().cast("array<struct<place:int,hash:int>>")))
 
 
 def likeness(left: Column, right: Column) -> Column:

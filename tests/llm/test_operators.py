@@ -343,6 +343,19 @@ def test_syncmers_are_context_free(spark):
     assert len(rows[0]["a"]) > 20
 
 
+def test_every_text_with_a_word_has_an_anchor(spark):
+    rng = random.Random(24)
+    short = [sentence(rng, n) for n in range(1, 10) for _ in range(20)]
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300))
+    frame = spark.createDataFrame([(t, short[(i + 40) % len(short)]) for i, t in enumerate(short)] + [(chinese, chinese[:150] + "x" + chinese[150:]), ("a", "b")], "a string, b string")
+    marks = frame.select("a", syncmers.anchors(F.col("a"))["hash"].alias("x"), syncmers.anchors(F.col("b"))["hash"].alias("y"))
+    rows = marks.select("a", "x", syncmers.likeness(F.col("x"), F.col("y")).alias("like")).collect()
+    assert all(r["x"] for r in rows)
+    assert all(r["like"] < 1 for r in rows[:len(short)]) and rows[-2]["like"] > 0.9 and rows[-1]["like"] == 0
+    long = [r for r in rows[:len(short)] if len(r["a"].split()) >= syncmers.WORDS]
+    assert len({tuple(r["x"]) for r in long}) == len({r["a"] for r in long})
+
+
 # -- language ---------------------------------------------------------------------------------
 
 @needs_data
