@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write an intermediate result as Parquet in the shared folder and read it back.
+
+    Takes less room than a checkpoint, keeps a table's statistics, and lets Spark drop the
+    shuffle files that led to it as soon as it is written; readers can prune ``partition_by``.
+    """
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}", spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -36,7 +36,8 @@ def test_clean_text(spark):
 def test_query_sanitising_drops_recent_repeats(spark):
     assert one(spark, " a b A c d a ", tx.sanitize_query(F.col("t"))).c0 == "a b c d a"
     assert one(spark, "  ", tx.sanitize_query(F.col("t"))).c0 is None
-    assert len(one(spark, "x" * 600, tx.sanitize_query(F.col("t"))).c0) == 500
+    assert len(one(spark, "x" * 600, tx.sanitize_query(F.col("t"))).c0) == 600
+    assert len(one(spark, "x" * 600, tx.sanitize_query(F.col("t"), 500)).c0) == 500
 
 
 def test_query_validity(spark):
