@@ -60,14 +60,16 @@ def components(rows, width=4, percent=85):
     return [(len(s), least.get(root(i)) if s else rows[i][0]) for i, s in enumerate(sets)]
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
+def distance(a, b, most=None):
+    """Edit distance; with ``most``, cells further from the diagonal count as one more than that."""
+    far = len(a) + len(b) if most is None else most + 1
+    row = {j: j for j in range(min(len(b), far) + 1)}
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        new = {}
+        for j in range(max(0, i - far), min(len(b), i + far) + 1):
+            new[j] = i if j == 0 else min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != b[j - 1]))
         row = new
-    return row[-1]
+    return row.get(len(b), far)
 
 
 def line_states(docs, edits, least, allowed=None):
@@ -79,11 +81,17 @@ def line_states(docs, edits, least, allowed=None):
             if WORD.search(line):
                 first.setdefault(line, (doc_id, place))
     near = set()
-    long = [line for line in first if len(line) >= least]
+    long = sorted((line for line in first if len(line) >= least), key=len)
+    letters = [collections.Counter(line) for line in long]
     for i, a in enumerate(long):
-        for b in long[:i]:
-            t = most(min(len(a), len(b)))
-            if abs(len(a) - len(b)) <= t and distance(a, b) <= t:
+        for j in range(i - 1, -1, -1):
+            b = long[j]
+            t = most(len(b))
+            if len(a) - len(b) > max(t, len(a) // 10 + 2):
+                break
+            # An edit changes the counts of two letters at most.
+            apart = sum(((letters[i] - letters[j]) + (letters[j] - letters[i])).values())
+            if len(a) - len(b) <= t and apart <= 2 * t and distance(a, b, t) <= t:
                 near.add(max(a, b, key=lambda x: first[x]))
     return {doc_id: [(p, "exact" if first[x] != (doc_id, p) else "near" if x in near else "first")
                      for p, x in enumerate((text or "").split("\n")) if WORD.search(x)] for doc_id, text in docs}

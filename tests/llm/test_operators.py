@@ -257,7 +257,7 @@ def test_line_states_match_all_pairs(spark, docs, empty):
 def test_allowed_edits_grow_with_the_line(spark):
     rng = random.Random(23)
     lines = []
-    for n in [20, 24, 27, 28, 33, 39, 40, 41, 54, 55, 58, 74, 75, 76, 99, 100, 101, 150, 165, 203, 338, 599, 601, 624]:
+    for n in [20, 24, 27, 28, 33, 39, 40, 41, 54, 55, 58, 74, 75, 76, 99, 100, 101, 124, 149, 150, 155, 165, 186, 188, 203, 234, 338, 454, 599, 601, 624, 1104]:
         base = (sentence(rng, 3 + n // 4))[:n]
         for _ in range(6 if n < 110 else 2):
             line = list(base)
@@ -275,6 +275,26 @@ def test_allowed_edits_grow_with_the_line(spark):
     assert wanted != brute.line_states(rows, 2, 40)
 
 
+def test_long_lines_of_any_shape(spark):
+    rng = random.Random(29)
+    shapes = [lambda n: (sentence(rng, n // 4))[:n], lambda n: "".join(rng.choices("abcdefgh", k=n)), lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)),
+              lambda n: " ".join("".join(rng.choices("xyz", k=rng.randrange(1, 25))) for _ in range(n))[:n], lambda n: " " * (n // 3) + "q" * (n - n // 3)]
+    lines = []
+    for n in (150, 160, 187, 299, 300, 312, 460, 720, 3_000):
+        for shape in shapes[:1] if n > 1000 else shapes:
+            base = shape(n)
+            for spread in (1, 1, n):
+                line, start = list(base), rng.randrange(n // 2)
+                for _ in range(line_dedup.allowed(n) + rng.randrange(-1, 2)):
+                    at = min(start + rng.randrange(max(1, spread)), len(line))
+                    line[at:at + rng.randrange(2)] = rng.choices("abé ", k=rng.randrange(1, 2))
+                lines.append("".join(line))
+    rng.shuffle(lines)
+    rows = list(enumerate(lines))
+    found = {r["doc_id"]: [tuple(x) for x in r["lines"]] for r in line_dedup.verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute.line_states(rows, None, line_dedup.MIN_NEAR, line_dedup.allowed)
+
+
 # -- quality rules ----------------------------------------------------------------------
 
 def test_counts_match_plain_ones(docs, empty):
@@ -420,12 +440,12 @@ def test_pipeline_against_plain_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     judged = language.classify(docs, language.learn(docs), ["doc_id", "text"]).where("not rejected").collect()
     texts = sorted((r["doc_id"], r["text"]) for r in judged)
-    states, left = brute.line_states(texts, line_dedup.EDITS, line_dedup.MIN_NEAR), []
+    states, left = brute.line_states(texts, None, line_dedup.MIN_NEAR, line_dedup.allowed), []
     for doc_id, text in texts:
         gone, lines = {p for p, s in states[doc_id] if s != "first"}, text.split("\n")
         if len(gone) < len(states[doc_id]):
             left.append((doc_id, "\n".join(x for p, x in enumerate(lines) if p not in gone)))
-    firsts = {c for n, c in brute.components(left) if n}
+    firsts = {c for n, c in brute.components(left, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT) if n}
     wanted = {(i, t) for (i, t) in left if i in firsts}
     rows = corpus_pipeline.run(spark, DATA).collect()
     assert {(r["doc_id"], r["text"]) for r in rows} == wanted and len(rows) == len(wanted)
