@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillspark.llm import bpe, language, line_dedup, line_rules, merkle, mixing, ngram_join, repeats, secrets, syncmers
+from quillspark.llm import bpe, language, line_dedup, line_rules, merkle, mixing, ngram_join, periodic, repeats, secrets, syncmers
+from quillspark.functions.text import bind
 from quillspark.plans.lineage import cut
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -129,6 +129,36 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("row.doc_id", "row.source", "block", "release", "deadline", "slot", "turn")
 
 
+def cycled(text: Column, doc_id: Column) -> Column:
+    """The text of every tenth document by hash with its tail made periodic; a null id has hash 0 and no such tail."""
+    lot = F.crc32(doc_id.cast("string"))
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def turned(s: Column) -> Column:
+        w, n, g = s["w"], F.size(s["w"]), s["g"]
+        begin = F.pmod(g, n).cast("int")
+        period = (1 + F.floor((n - begin) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        made = bind(F.struct(begin.alias("a"), period.alias("p")), lambda b: F.transform(
+            w, lambda x, i: F.when(i < b["a"], x).otherwise(F.get(w, b["a"] + F.pmod(i - b["a"], b["p"])))))
+        return F.when(n > 0, F.array_join(made, " ")).otherwise("")
+
+    tenth = doc_id.isNotNull() & (F.pmod(lot, F.lit(10)) == 0)
+    return F.when(tenth, bind(F.struct(words.alias("w"), F.floor(lot / 10).alias("g")), turned)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", cycled(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text"))
+    found = periodic.find(docs, ["doc_id"])
+    more = lambda a, b: a["length"] * b["period"] - b["length"] * a["period"]
+    best = F.get(F.array_sort("runs", lambda a, b: F.when(more(a, b) != 0, -F.sign(more(a, b))).when(a["start"] != b["start"], F.sign(a["start"] - b["start"]))
+                              .otherwise(F.sign(a["period"] - b["period"])).cast("int")), 0)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumns({"best": best, "listed": F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")})
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{n}").alias(n) for n in ("start", "length", "period")],
+                        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_repeated_bytes": op2_repeated_bytes,
@@ -140,6 +170,7 @@ QUERIES = {
     "op8_closed_syncmers": op8_closed_syncmers,
     "op9_compression_language": op9_compression_language,
     "op10_pfair_mix": op10_pfair_mix,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op7_merkle_fixity": OP7_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import (bpe, components, language, line_dedup, line_rules, merkle, mixing, ngram_join, queries, repeats, secrets, syncmers)
+from quillspark.llm import (bpe, components, language, line_dedup, line_rules, merkle, mixing, ngram_join, periodic, queries, repeats, secrets, syncmers)
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.001"
@@ -421,6 +421,43 @@ def test_mixing_keeps_every_document(spark, docs, empty):
     assert mixing.mix(empty, mixing.units(mixing.sizes(empty))).count() == 0
 
 
+# -- periodic runs --------------------------------------------------------------------------------
+
+def test_runs_match_plain_search(spark, docs, empty):
+    rng, texts = random.Random(31), []
+    for _ in range(400):
+        words = [rng.choice("abcde"[:rng.randrange(1, 6)]) for _ in range(rng.randrange(90))]
+        for _ in range(rng.randrange(3)):
+            turn, at = [rng.choice("abxyz") for _ in range(rng.randrange(1, 14))], rng.randrange(len(words) + 1)
+            words[at:at] = [turn[i % len(turn)] for i in range(rng.randrange(5, 70))]
+        texts.append(rng.choice([" ", "\n", "\t \r"]).join(words))
+    texts.append(sentence(rng, 3000) + (" " + " ".join(f"w{i}" for i in range(700))) * 3 + " a" * 5000)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(docs.select("doc_id", "text"))
+    found = periodic.find(rows, ["doc_id", "text"]).collect()
+    assert len(found) == len(texts) + docs.count()
+    for r in found:
+        words = [w.decode() for w in (r["text"] or "").encode().split()]
+        if len(words) < 1000:
+            wanted = brute.runs(words)
+            gone = {i for s, length, q in wanted for i in range(s + q, s + length)}
+            assert [tuple(x) for x in r["runs"]] == wanted and r["n_words"] == len(words)
+            assert r["collapsed"] == " ".join(w for i, w in enumerate(words) if i not in gone)
+    long = next(r for r in found if (r["text"] or "").endswith(" a" * 5000))
+    assert [(x["length"], x["period"]) for x in long["runs"]] == [(2100, 700), (5000, 1)] and len(long["collapsed"].split()) == 3701
+    clashing = docs.selectExpr("text", "doc_id as runs", "key as n_words")
+    assert periodic.find(clashing, ["runs", "n_words"], names=("n", "r", "c")).columns == ["runs", "n_words", "n", "r", "c"]
+    assert periodic.find(empty, ["doc_id"]).count() == 0
+
+
+@needs_data
+def test_runs_query_matches_plain_rows(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    found = queries.op11_periodic_runs(spark, DATA).drop("n_words").collect()
+    short = {r["doc_id"] for r in rows if len(r["text"] or "") < 6000}
+    assert ordered(tuple(r) for r in found if r["doc_id"] in short) == ordered(brute.periodic(r["doc_id"], r["text"]) for r in rows if r["doc_id"] in short)
+    assert len(found) == len(rows) and any(r["n_runs"] for r in found)
+
+
 # -- pipeline --------------------------------------------------------------------------------------
 
 def test_stages_on_awkward_rows(spark, docs, tmp_path):
