@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillspark.llm import bpe, language, line_dedup, line_rules, merkle, mixing, ngram_join, periodic, repeats, secrets, syncmers
+from quillspark.llm import bpe, language, line_dedup, line_rules, merkle, mixing, negatives, ngram_join, periodic, repeats, secrets, syncmers
 from quillspark.functions.text import bind
 from quillspark.plans.lineage import cut
 
@@ -159,6 +159,29 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(negatives.usable(F.col("label"), F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("long")).alias("vector"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+with kept as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+  list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where label is not null and embedding is not null
+  and not list_bool_or(list_transform(embedding, lambda x: x is null or isnan(x) or isinf(x)))),
+anchors as (select * from kept where vec_id % 100 = 0),
+scores as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from anchors a join kept b on a.vec_id <> b.vec_id),
+pos as (select anchor_id, id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, p.positive_id, row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.id)::int as rank,
+  s.id as negative_id, p.positive_score, s.score as negative_score
+from pos p join scores s on s.anchor_id = p.anchor_id and not s.same and 100 * s.score between 80 * p.positive_score and 100 * p.positive_score
+qualify rank <= 5
+"""
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_repeated_bytes": op2_repeated_bytes,
@@ -171,6 +194,7 @@ QUERIES = {
     "op9_compression_language": op9_compression_language,
     "op10_pfair_mix": op10_pfair_mix,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_hard_negatives": op12_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op7_merkle_fixity": OP7_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES = {"op7_merkle_fixity": OP7_SQL, "op12_hard_negatives": OP12_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -143,5 +143,19 @@ def periodic(doc_id, text):
             sha(" ".join(w for i, w in enumerate(words) if i not in gone)))
 
 
+def hard_negatives(rows, every, k=5, low=80, high=100):
+    """Rows of (vec_id, label, whole numbers): (anchor, positive, rank, negative, positive score, negative score), by scores of all pairs."""
+    out = []
+    order = lambda x: (-x[0], x[1] is None, x[1] or 0)
+    for i, (anchor, label, v) in enumerate(rows):
+        if anchor is None or anchor % every:
+            continue
+        scores = [(sum(a * b for a, b in zip(v, w)), j, other) for n, (j, other, w) in enumerate(rows) if n != i]
+        for score, positive, _ in sorted((s for s in scores if s[2] == label), key=order)[:k]:
+            fits = sorted((s for s in scores if s[2] != label and low * score <= 100 * s[0] <= high * score), key=order)[:k]
+            out += [(anchor, positive, rank, s[1], score, s[0]) for rank, s in enumerate(fits, 1)]
+    return out
+
+
 def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()

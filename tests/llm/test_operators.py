@@ -6,13 +6,14 @@ import random
 from array import array
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import (bpe, components, language, line_dedup, line_rules, merkle, mixing, ngram_join, periodic, queries, repeats, secrets, syncmers)
+from quillspark.llm import (bpe, components, language, line_dedup, line_rules, merkle, mixing, negatives, ngram_join, periodic, queries, repeats, secrets, syncmers)
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.001"
@@ -458,6 +459,52 @@ def test_runs_query_matches_plain_rows(spark):
     assert len(found) == len(rows) and any(r["n_runs"] for r in found)
 
 
+# -- hard negatives -------------------------------------------------------------------------------
+
+def test_negatives_match_all_pairs(spark, monkeypatch):
+    for name, size in (("BLOCK", 16), ("PART", 2), ("PAGE", 4), ("SLICE", 8), ("SEEDS", 12)):
+        monkeypatch.setattr(negatives, name, size)
+    rng = random.Random(37)
+    rows = [(i, rng.randrange(4), [rng.randrange(-30, 31) for _ in range(6)]) for i in range(300)]
+    rows += [(500 + i, i % 2, [9, 9, 9]) for i in range(40)] + [(600, 1, [9, 9, 9, 0])] * 2 + [(None, 0, [20] * 6), (None, 1, [21] * 6), (700, 3, []), (710, 3, [0] * 6)]
+    schema = "vec_id long, label int, vector array<long>, block string, score int"
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], schema).repartition(3)
+    found = negatives.mine(frame, F.col("vec_id") % 10 == 0)
+    assert ordered(map(tuple, found.collect())) == ordered(brute.hard_negatives(rows, 10))
+    assert negatives.mine(spark.createDataFrame([], schema), F.col("vec_id") % 10 == 0).count() == 0
+    lonely = spark.createDataFrame([(0, 1, [1], "", 1), (1, 2, [1], "", 1)], schema)
+    assert negatives.mine(lonely, F.col("vec_id") == 0).count() == 0
+
+
+def test_usable_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0]), (None, [1.0]), (1, None), (1, [1.0, None]), (1, [nan]), (1, [-inf]), (1, []), (1, [2.0, -3.5])]
+    frame = spark.createDataFrame(rows, "label int, e array<double>").select(negatives.usable(F.col("label"), F.col("e")).alias("ok"))
+    assert [r["ok"] for r in frame.collect()] == [True, False, False, False, False, False, True, True]
+
+
+def test_curve_keeps_neighbours():
+    cells = np.array(list(itertools.product(range(8), repeat=3)))
+    keys = [k.tobytes() for k in negatives.hilbert(cells, 3)]
+    path = cells[sorted(range(len(keys)), key=keys.__getitem__)]
+    assert len(set(keys)) == len(keys) and (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(3)
+    rows, asked = rng.integers(-50, 50, (40, 9)), rng.integers(-50, 50, (7, 9))
+    low, high = negatives.bounds(asked, rows.min(0)[None], rows.max(0)[None])
+    scores = asked @ rows.T
+    assert (low[:, 0] <= scores.min(1)).all() and (high[:, 0] >= scores.max(1)).all()
+
+
+@needs_data
+def test_negatives_match_sql(spark):
+    con = duckdb.connect()
+    con.execute("create view embeddings as select * from '/root/testdata/sf0.01/embeddings.parquet'")
+    assert sorted(map(tuple, queries.op12_hard_negatives(spark, "/root/testdata/sf0.01").collect())) == sorted(con.sql(queries.OP12_SQL).fetchall())
+
+
 # -- pipeline --------------------------------------------------------------------------------------
 
 def test_stages_on_awkward_rows(spark, docs, tmp_path):
@@ -492,7 +539,7 @@ def test_pipeline_against_plain_stages(spark):
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n != "pipeline"])
 def test_queries_run_over_whole_tables(spark, name):
     rows = queries.QUERIES[name](spark, DATA)
-    table = "pages" if name.startswith("op7") else "documents"
+    table = {"op7": "pages", "op12": "embeddings", "op13": "pieces"}.get(name.split("_")[0], "documents")
     if table == "documents":
         assert rows.count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
     else:
