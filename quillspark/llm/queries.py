@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillspark.llm import bpe, language, line_dedup, line_rules, merkle, mixing, negatives, ngram_join, periodic, repeats, secrets, syncmers
+from quillspark.llm import bpe, language, line_dedup, line_rules, merkle, mixing, negatives, ngram_join, packing, periodic, repeats, secrets, syncmers
 from quillspark.functions.text import bind
 from quillspark.plans.lineage import cut
 
@@ -182,6 +182,16 @@ qualify rank <= 5
 """
 
 
+def piece_encoder():
+    """The encoder of the packed vocabulary, made in each task."""
+    return packing.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(table(spark, sf_dir, "documents"), piece_encoder, ["doc_id"])
+    return placed.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_repeated_bytes": op2_repeated_bytes,
@@ -195,6 +205,7 @@ QUERIES = {
     "op10_pfair_mix": op10_pfair_mix,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_bin_completion": op13_bin_completion,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op7_merkle_fixity": OP7_SQL, "op12_hard_negatives": OP12_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -157,5 +157,25 @@ def hard_negatives(rows, every, k=5, low=80, high=100):
     return out
 
 
+def fewest_bins(sizes, capacity):
+    """The least number of bins, by trying all ways."""
+    sizes = sorted(sizes, reverse=True)
+    best = len(sizes)
+
+    def put(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(sizes):
+            best = len(bins)
+            return
+        for b in {x: n for n, x in enumerate(bins) if x + sizes[i] <= capacity}.values():
+            put(i + 1, [*bins[:b], bins[b] + sizes[i], *bins[b + 1:]])
+        put(i + 1, [*bins, sizes[i]])
+
+    put(0, [])
+    return best
+
+
 def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()

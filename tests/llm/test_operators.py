@@ -1,8 +1,10 @@
 """The operators on awkward rows and against plain versions."""
 
+import collections
 import itertools
 import os
 import random
+import zlib
 from array import array
 
 import duckdb
@@ -10,10 +12,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import (bpe, components, language, line_dedup, line_rules, merkle, mixing, negatives, ngram_join, periodic, queries, repeats, secrets, syncmers)
+from quillspark.llm import (bpe, components, language, line_dedup, line_rules, merkle, mixing, negatives, ngram_join, packing, periodic, queries, repeats, secrets, syncmers)
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.001"
@@ -505,6 +508,74 @@ def test_negatives_match_sql(spark):
     assert sorted(map(tuple, queries.op12_hard_negatives(spark, "/root/testdata/sf0.01").collect())) == sorted(con.sql(queries.OP12_SQL).fetchall())
 
 
+# -- packing --------------------------------------------------------------------------------------
+
+def test_bin_completion_finds_the_fewest():
+    rng = random.Random(41)
+    for _ in range(400):
+        capacity = rng.choice([10, 20, 50, 100])
+        least = rng.choice([1, capacity // 6])
+        sizes = collections.Counter(rng.randrange(max(1, least), capacity + 1) for _ in range(rng.randrange(11)))
+        best, used = packing.complete(sizes, capacity), collections.Counter()
+        for times, pattern in best:
+            assert sum(pattern) <= capacity and times > 0
+            used.update({n: times * pattern.count(n) for n in set(pattern)})
+        assert used == sizes
+        fewest = brute.fewest_bins(sizes.elements(), capacity)
+        assert sum(t for t, _ in best) == fewest >= packing.lower_bound(sizes, capacity)
+
+
+def test_many_pieces_are_packed_tightly():
+    rng = random.Random(43)
+    sizes = collections.Counter(min(1024, max(1, int(rng.lognormvariate(6, 1)))) for _ in range(20_000))
+    best = packing.complete({n: 1000 * c for n, c in sizes.items()})
+    assert sum(t for t, _ in best) <= 1.001 * packing.lower_bound({n: 1000 * c for n, c in sizes.items()}, 1024)
+
+
+def check_places(rows, capacity=1024):
+    spots = collections.defaultdict(list)
+    for r in rows:
+        spots[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in spots.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(spots)
+
+
+def test_packing_keeps_every_token(spark, docs, empty):
+    extra = [("<|endoftext|> 中文 text \U0001f600 ſ",), ("long " * 3000,), ("ab" * 1023,)] + [("same text of a few words",)] * 300
+    rows = docs.select("text").union(spark.createDataFrame(extra, "text string")).repartition(5)
+    found = packing.pack(rows, queries.piece_encoder, ["text"], with_ids=True).cache()
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    wanted = []
+    for (text,) in rows.collect():
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 if len(ids) > 1024 else len(ids)
+        cuts = [c for c in range(first, len(ids) + 1, 1024)]
+        cuts = ([0] if cuts[0] else []) + cuts
+        wanted += [(text, i, a, b - a, zlib.crc32(array("I", ids[a:b]).tobytes())) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    got = found.collect()
+    assert ordered((r["text"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == ordered(wanted)
+    assert check_places(got) >= packing.lower_bound(collections.Counter(r["length"] for r in got), 1024)
+    whole = packing.sequences(found).collect()
+    assert sum(r["n_tokens"] for r in whole) == sum(r["length"] for r in got) and all(4 * r["n_tokens"] == len(r["ids"]) for r in whole)
+    assert packing.pack(empty, queries.piece_encoder, ["doc_id"]).count() == 0
+    clashing = packing.pack(docs.selectExpr("text", "doc_id as _pieces", "key as _rank_"), queries.piece_encoder, ["_pieces", "_rank_"])
+    assert clashing.columns[:2] == ["_pieces", "_rank_"] and clashing.count() >= docs.count()
+
+
+@needs_data
+def test_packing_query(spark):
+    rows = queries.op13_bin_completion(spark, DATA).collect()
+    sizes = collections.Counter(r["length"] for r in rows)
+    assert check_places(rows) <= packing.lower_bound(sizes, 1024) + 2
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+
+
 # -- pipeline --------------------------------------------------------------------------------------
 
 def test_stages_on_awkward_rows(spark, docs, tmp_path):
