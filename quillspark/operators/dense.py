@@ -77,9 +77,9 @@ def dense_top(queries: DataFrame, corpus: DataFrame, k: int = 5, dims: int | Non
     place; a larger one goes through ``_block_join``, which bounds both sides
     of every group.
     """
-    # A null vector is near nothing.
+    # A null vector is near nothing; the scan drops those of the corpus, as a filter would compute the vectors twice.
     wanted = queries.select("query_id", "embedding").where("embedding is not null")
-    corpus = corpus.select("scope", "chunk_id", "embedding").where("embedding is not null")
+    corpus = corpus.select("scope", "chunk_id", "embedding")
     first = wanted.select(F.size("embedding")).head()
     width = dims or max(1, first[0] if first else 1)
     limit = BROADCAST_CELLS // width
@@ -100,6 +100,7 @@ def _broadcast_scan(head: pa.Table, corpus: DataFrame, k: int, schema: str) -> D
     def scan(batches):
         query_ids, block = shared.value
         for batch in batches:
+            batch = batch.filter(batch.column("embedding").is_valid())
             if batch.num_rows and len(query_ids):
                 yield _block_hits(block, query_ids, batch.column("scope"), batch.column("chunk_id"),
                                   matrix_of(batch.column("embedding")), k)
@@ -114,6 +115,7 @@ def _block_join(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     every group holds one bounded block of each; a hot scope is spread over the
     corpus blocks by the id hash.
     """
+    corpus = corpus.where("embedding is not null")
     n_q, n_c = queries.count(), corpus.count()
     qb, cb = max(1, -(-n_q // BLOCK_QUERIES)), max(1, -(-n_c // BLOCK_ROWS))
     left = queries.select("query_id", F.col("embedding").alias("q_embedding"),

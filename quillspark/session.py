@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -26,6 +30,10 @@ def build_session(app: str = "quillspark", cpus: str | int | None = None, shuffl
     builder = SparkSession.builder.appName(app)
     if cpus is not None:
         builder = builder.master(f"local[{cpus}]")
+        # Local Python workers find the package from any working directory; a cluster gets it installed or by --py-files.
+        paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+        if ROOT not in paths:
+            os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     if memory is not None:
         builder = builder.config("spark.driver.memory", memory)
     if shuffle_partitions is not None:

@@ -307,7 +307,7 @@ g as (select scope, unnest(w) as term, 1 as v from w
     union all select scope, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 1 from w where len(w) >= 3
     union all select scope, 'section ' || lang, 3 from w),
 s as (select scope, term, sum(v) as s from g group by all),
-t as (select scope, term, (case when s >= 3 then s + 2 else s end)::bigint as weight from s where s >= 2 and length(term) <= 64),
+t as (select scope, term, (case when s >= 3 then s + 2 else s end)::bigint as weight from s where s >= 2),
 q as (select item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-zA-Z]{3,}')) as w from benchmark),
 p as (select query_id, substr(arg_min(w, (-length(w), w)), 1, 4) as prefix from q group by query_id),
 r as (select p.query_id, t.scope, p.prefix, t.term, t.weight, (row_number() over (partition by p.query_id, t.scope order by weight desc, length(term), term))::int as rank

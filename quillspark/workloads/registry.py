@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.workloads import activity, documents, evaluation, knowledge, retrieval
+from quillspark.workloads import activity, documents, evaluation, knowledge, retrieval, stored
 
-MODULES = (retrieval, documents, activity, evaluation, knowledge)
+MODULES = (retrieval, documents, activity, evaluation, knowledge, stored)
 
 
 def queries() -> dict:

@@ -18,7 +18,8 @@ PICKED = """bm25_topk dense_topk dense_text_topk hybrid_rrf route_queries saniti
 running_lines_removed page_estimates page_sections table_lines layout_profile sentence_groups sliding_windows chunk_checks
 topic_overview study_plan daily_leaderboard graded_answers usage_totals quota_decisions quota_after_tier_change call_gaps
 followup_questions query_metrics latency_percentiles sampled_runs course_nodes breadcrumbs located_chunks subject_scores
-quiz_questions shuffled_questions recovered_json rerank_scores upload_decisions content_siblings""".split()
+quiz_questions shuffled_questions recovered_json rerank_scores upload_decisions content_siblings
+stored_bm25_topk stored_search_after_changes stored_stats_after_changes""".split()
 ORACLES = registry.oracles()
 NAMES = sorted(ORACLES) if os.environ.get("QUILL_ALL") else PICKED
 
