@@ -1,21 +1,20 @@
 """Document fingerprints from closed syncmers, with native expressions.
 
-A window of ``WORDS`` words is an anchor if its least word hash is the first or
-the last one. Whether it is one depends on the window alone, so equal passages
-have equal anchors at equal distances whatever stands around them. The
-fingerprint is the list of anchors in text order; places are kept beside them
-for positional matching (``shift``). Likeness is the Dice share of the anchors
-that two texts have in common.
-
-A text of fewer words, or of words of ``LONG_WORD`` code points and more on
-average (scripts without blanks), takes windows of ``WORDS`` pairs of adjacent
-code points instead, its blanks as one each. Where no window is an anchor, the one
-of least hash is, so every text with a word has an anchor.
-
-Defined results: words are runs without blanks and controls 9 to 13; a text too
-short for a window of either kind has one anchor of its whole text, a text without
-words has none; places count words, or code points where those are taken; two texts without anchors are alike by 1, one without by 0; repeated
-anchors count once; equal texts have equal fingerprints.
+The units of a text are its words; a word of ``LONG_WORD`` code points and more (in
+scripts without blanks) gives one unit per pair of adjacent code points instead, which
+depends on that word alone. A window of ``WORDS`` units is an anchor if its least unit
+hash is the first or the last one. Whether it is one depends on the window alone, so
+equal passages have equal anchors at equal distances whatever stands around them. Four
+greatest hashes stand before and after the text: the window that ends with its first
+unit and the one that begins with its last are always anchors, so every text with a
+word has some, and short texts share those of a common start or end. The fingerprint is
+the list of anchors in text order; places are kept beside them for positional matching
+(``shift``). Likeness is the Dice share of the anchors that two texts have in common.
+
+Defined results: words are runs without blanks and controls 9 to 13; a text without
+words has no anchor; places count units and are negative for windows that begin before
+the text; two texts without anchors are alike by 1, one without by 0; repeated anchors
+count once; equal texts have equal fingerprints.
 
 ``following`` gives every row its next row by id without sorting the table in
 one task: rows meet in short id buckets, and the last of a bucket takes the
@@ -36,29 +35,36 @@ BUCKET_BITS = 6
 SPACES = r"[ \t-\r]+"
 
 
+#: Stands before and after a text.
+EDGE = 2**31 - 1
+
+
 def units(words: Column) -> Column:
-    """Hashes of the words, or of pairs of code points where words are too few or too long."""
-    body = F.array_join(words, " ")
-    chars = F.filter(F.split(body, ""), lambda c: c != "")
-    pairs = bind(chars, lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0))), lambda i: F.hash(F.get(c, i), F.get(c, i + 1))))
-    return F.when((F.size(words) < WORDS) | (F.length(body) >= LONG_WORD * F.size(words)), pairs).otherwise(F.transform(words, lambda w: F.hash(w)))
+    """Hashes of the words, or of the pairs of code points of long ones, below ``EDGE``."""
+    below = lambda h: F.least(h, F.lit(EDGE - 1))
+
+    def pairs(word: Column) -> Column:
+        chars = F.filter(F.split(word, ""), lambda c: c != "")
+        return bind(chars, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: below(F.hash(F.get(c, i), F.get(c, i + 1)))))
+
+    plain = F.transform(words, lambda w: below(F.hash(w)))
+    mixed = F.flatten(F.transform(words, lambda w: F.when(F.length(w) < LONG_WORD, F.array(below(F.hash(w)))).otherwise(pairs(w))))
+    # The same list; most texts have no long word and need no list per word.
+    return F.when(F.exists(words, lambda w: F.length(w) >= LONG_WORD), mixed).otherwise(plain)
 
 
 def anchors(text: Column) -> Column:
-    """Places (in words or code points) and 32-bit hashes of the closed syncmers of a text."""
+    """Places (in units) and 32-bit hashes of the closed syncmers of a text."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    edge = F.array_repeat(F.lit(EDGE), WORDS - 1)
 
     def closed(h: Column) -> Column:
         at = lambda i, k: F.get(h, i + k)
         every = F.sequence(F.lit(0), F.size(h) - WORDS)
-        window = lambda i: F.hash(*[at(i, k) for k in range(WORDS)])
         windows = F.filter(every, lambda i: F.least(at(i, 0), at(i, WORDS - 1)) <= F.least(*[at(i, k) for k in range(1, WORDS - 1)]))
-        least = F.array_min(F.transform(every, lambda i: F.struct(window(i).alias("hash"), i.alias("place"))))
-        chosen = bind(windows, lambda w: F.when(F.size(w) > 0, w).otherwise(F.array(least["place"])))
-        return F.when(F.size(h) >= WORDS, F.transform(chosen, lambda i: F.struct(i.alias("place"), window(i).alias("hash")))).otherwise(
-            F.array(F.struct(F.lit(0).alias("place"), F.hash(text).alias("hash"))))
+        return F.transform(windows, lambda i: F.struct((i - (WORDS - 1)).alias("place"), F.hash(*[at(i, k) for k in range(WORDS)]).alias("hash")))
 
-    return bind(words, lambda w: F.when(F.size(w) > 0, bind(units(w), closed)).otherwise(F.array().cast("array<struct<place:int,hash:int>>")))
+    return bind(words, lambda w: F.when(F.size(w) > 0, bind(F.concat(edge, units(w), edge), closed)).otherwise(F.array().cast("array<struct<place:int,hash:int>>")))
 
 
 def likeness(left: Column, right: Column) -> Column:

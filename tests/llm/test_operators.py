@@ -361,7 +361,7 @@ def test_syncmers_are_context_free(spark):
     frame = spark.createDataFrame(pairs, "a string, b string")
     marks = frame.select(syncmers.anchors(F.col("a")).alias("a"), syncmers.anchors(F.col("b")).alias("b"))
     rows = marks.select("a", "b", syncmers.likeness(F.col("a.hash"), F.col("b.hash")).alias("like"), syncmers.shift(F.col("a"), F.col("b")).alias("shift")).collect()
-    held = {(x["place"] + 7, x["hash"]) for x in rows[0]["a"]}
+    held = {(x["place"] + 7, x["hash"]) for x in rows[0]["a"] if 0 <= x["place"] <= 80 - syncmers.WORDS}
     assert held <= {(x["place"], x["hash"]) for x in rows[0]["b"]} and rows[0]["shift"] == 7
     assert [r["like"] for r in rows[1:5]] == [1.0, 1.0, 0.0, 1.0] and rows[5]["like"] < 0.2 < rows[0]["like"]
     assert len(rows[0]["a"]) > 20
@@ -376,8 +376,33 @@ def test_every_text_with_a_word_has_an_anchor(spark):
     rows = marks.select("a", "x", syncmers.likeness(F.col("x"), F.col("y")).alias("like")).collect()
     assert all(r["x"] for r in rows)
     assert all(r["like"] < 1 for r in rows[:len(short)]) and rows[-2]["like"] > 0.9 and rows[-1]["like"] == 0
-    long = [r for r in rows[:len(short)] if len(r["a"].split()) >= syncmers.WORDS]
-    assert len({tuple(r["x"]) for r in long}) == len({r["a"] for r in long})
+    assert len({tuple(r["x"]) for r in rows[:len(short)]}) == len({r["a"] for r in rows[:len(short)]})
+    # An edit that takes a short text across the window's width, or a long word's, leaves what is common.
+    five, mixed = sentence(rng, 5), sentence(rng, 6) + " " + "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(40))
+    near = spark.createDataFrame([(five, five.rsplit(" ", 1)[0]), (mixed, mixed[:-15]), (chinese, "word " + chinese)], "a string, b string")
+    likes = near.select(syncmers.likeness(syncmers.anchors(F.col("a"))["hash"], syncmers.anchors(F.col("b"))["hash"]).alias("x")).collect()
+    assert all(r["x"] > 0 for r in likes) and likes[1]["x"] > 0.5 and likes[2]["x"] > 0.9
+
+
+def plain_anchors(text, hashes):
+    """Hashes of the anchors of words (none of them long), window by window, with the hash of each word given."""
+    h = [2**31 - 1] * 4 + [min(hashes[w], 2**31 - 2) for w in text.split()] + [2**31 - 1] * 4
+    return [tuple(h[i:i + 5]) for i in range(len(h) - 4) if min(h[i], h[i + 4]) <= min(h[i + 1:i + 4])] if text.split() else []
+
+
+@needs_data
+def test_syncmer_query_matches_plain_rows(spark):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
+    words = sorted({w for _, t in rows for w in t.split()})
+    hashed = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.hash("w").alias("h")).collect()}
+    found = {r["doc_id"]: r for r in queries.op8_closed_syncmers(spark, DATA).collect()}
+    for (doc_id, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        r, half = found[doc_id], len(text) // 2
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), brute.sha(text[:len(text) - half] + after[:half]))
+        if max(map(len, (text + " " + after).split()), default=0) < syncmers.LONG_WORD and (text + after).isprintable():
+            a, b = plain_anchors(text, hashed), plain_anchors(after, hashed)
+            assert len(r["fingerprint"]) == 8 * len(a)
+            assert r["near_next"] == pytest.approx(2 * len(set(a) & set(b)) / (len(set(a)) + len(set(b))) if a or b else 1.0)
 
 
 # -- language ---------------------------------------------------------------------------------
