@@ -56,11 +56,12 @@ def letters(text: str | None) -> bytes:
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
     """One dictionary per language from the documents that are not held out."""
-    known = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).where(
-        F.col("_lang").isNotNull() & F.col("_text").isNotNull() & ~held_out("_id"))
-    chosen = top_k(known.select("_lang", "_id").distinct(), ["_lang"], [F.xxhash64("_id"), F.col("_id")], SAMPLE_DOCS, "_rank")
-    # At most SAMPLE_DOCS ids per language.
-    texts = known.join(F.broadcast(chosen), [known["_lang"] == chosen["_lang"], known["_id"].eqNullSafe(chosen["_id"])], "left_semi")
+    known = docs.select(F.col(lang).alias("_lang"), F.xxhash64(text).alias("_key"), F.col(text).alias("_text")).where(
+        F.col("_lang").isNotNull() & F.col("_text").isNotNull() & ~held_out(doc_id))
+    # Sampled by the text's own hash, so that ids decide nothing but the fold; equal texts count once.
+    chosen = top_k(known.select("_lang", "_key").distinct(), ["_lang"], [F.col("_key")], SAMPLE_DOCS, "_rank")
+    # At most SAMPLE_DOCS keys per language.
+    texts = known.join(F.broadcast(chosen), ["_lang", "_key"], "left_semi")
     lines = texts.select("_lang", F.explode(F.split("_text", "\n")).alias("_line")).select("_lang", F.substring("_line", 1, LINE_CHARS).alias("_line")).distinct()
     best = top_k(lines, ["_lang"], [F.xxhash64("_line"), F.col("_line")], SAMPLE_LINES, "_rank")
     parts: dict[str, list[bytes]] = {}
