@@ -234,6 +234,15 @@ def compare_systems(vector_top: DataFrame, hybrid_top: DataFrame) -> DataFrame:
     )
 
 
+def ask_gate(hits: DataFrame, queries: DataFrame, min_candidates: int = 5, min_words: int = 4, score_gap: float = 0.01) -> DataFrame:
+    """``query_id, scope, n_chunks, gap, reranked``: whether asking would rerank, for enough chunks, a longer question and close first scores."""
+    of_rank = lambda r: F.max(F.when(F.col("rank") == r, F.col("rrf_score")))
+    groups = hits.groupBy("query_id", "scope").agg(F.count(F.lit(1)).alias("n_chunks"), F.abs(of_rank(1) - of_rank(2)).alias("gap"))
+    sized = queries.select("query_id", tx.word_count(F.lower(tx.strip(F.col("query")))).alias("_words"))
+    unsure = (F.col("n_chunks") >= min_candidates) & (F.col("_words") >= min_words) & (F.round("gap", 9) <= score_gap)
+    return groups.join(sized, "query_id").select("query_id", "scope", "n_chunks", "gap", F.coalesce(unsure, F.lit(False)).alias("reranked"))
+
+
 def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, min_candidates: int = 5,
            score_gap: float = 0.02, head: int | None = None, chars: int | None = None, scorer=None, embedder=None) -> DataFrame:
     """Rescore the hits (the first ``head``, by their first ``chars`` characters, if given) where the gate says the order is unsure.

@@ -266,6 +266,18 @@ def reranked_hits(spark, sf_dir):
                        F.round("rerank_score", 6).alias("rerank_score"), "new_rank")
 
 
+@bound("ask_rerank_gate", f"""with {CHUNKS_BY_SOURCE_SQL}, {ROUTED_SQL}, {sql.hybrid('routed', 'chunks')},
+g as (select query_id, scope, count(*) as n_chunks,
+    abs(max(case when rank = 1 then rrf_score end) - max(case when rank = 2 then rrf_score end)) as gap from hyb group by all)
+select g.query_id, g.scope, g.n_chunks, round(g.gap, 6) as gap,
+    coalesce(g.n_chunks >= 5 and {sql.wc(sql.strip('q.query'))} > 3 and round(g.gap, 9) <= 0.01, false) as reranked
+from g join queries q using (query_id)""")
+def ask_rerank_gate(spark, sf_dir):
+    asked = queries(spark, sf_dir)
+    hits = fusion.hybrid(fusion.route(asked), chunks_by_source(spark, sf_dir))
+    return fusion.ask_gate(hits, asked).withColumn("gap", F.round("gap", 6))
+
+
 @bound("weighted_sum_retrieval", f"""with {CHUNKS_BY_SOURCE_SQL}, {QUERIES_SQL},
 p(variant, prefix, weight) as (values (0, '', 0.6::double), (1, 'Explain ', 0.2::double), (2, 'Key points of ', 0.2::double)),
 v as (select q.query_id as qid, q.query_id || '~' || variant as query_id, prefix || query as query, weight

@@ -19,7 +19,7 @@ running_lines_removed page_estimates page_sections table_lines layout_profile se
 topic_overview study_plan daily_leaderboard graded_answers usage_totals quota_decisions quota_after_tier_change call_gaps
 followup_questions query_metrics latency_percentiles sampled_runs course_nodes breadcrumbs located_chunks subject_scores
 quiz_questions shuffled_questions recovered_json rerank_scores upload_decisions content_siblings
-stored_bm25_topk stored_search_after_changes stored_stats_after_changes""".split()
+stored_bm25_topk stored_search_after_changes stored_stats_after_changes ask_rerank_gate""".split()
 ORACLES = registry.oracles()
 NAMES = sorted(ORACLES) if os.environ.get("QUILL_ALL") else PICKED
 
