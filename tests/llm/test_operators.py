@@ -450,6 +450,68 @@ def test_mixing_keeps_every_document(spark, docs, empty):
     assert mixing.mix(empty, mixing.units(mixing.sizes(empty))).count() == 0
 
 
+# -- registered queries, value by value ---------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def table_rows(spark):
+    return sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
+
+
+def columns_of(frame, *names):
+    return ordered(tuple(r) for r in frame.select(*names).collect())
+
+
+@needs_data
+def test_secret_query_matches_plain_rows(spark, table_rows):
+    wanted = []
+    for doc_id, text in table_rows:
+        found = brute.secrets(text)
+        wanted.append((doc_id, *[sum(k == kind for _, _, k, _ in found) for kind in ("assign", "access", "hex")],
+                       brute.sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in found))))
+    assert columns_of(queries.op1_secret_scan(spark, DATA), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == ordered(wanted)
+
+
+@needs_data
+def test_repeat_query_matches_plain_rows(spark, table_rows):
+    wanted = [(i, *r[:3], brute.sha(r[3])) for (i, _), r in zip(table_rows, brute.repeats([t for _, t in table_rows]))]
+    assert columns_of(queries.op2_repeated_bytes(spark, DATA), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == ordered(wanted)
+
+
+@needs_data
+def test_join_query_matches_plain_rows(spark, table_rows):
+    wanted = [(i, *r) for (i, _), r in zip(table_rows, brute.components(table_rows))]
+    assert columns_of(queries.op3_ngram_join(spark, DATA), "doc_id", "n_shingles", "component_id") == ordered(wanted)
+
+
+@needs_data
+def test_token_query_matches_plain_rows(spark, table_rows):
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    wanted = []
+    for doc_id, text in table_rows:
+        ids = plain.encode_ordinary(text or "")
+        wanted.append((doc_id, len(ids), brute.sha(array("I", ids).tobytes()), brute.sha((text or "").encode())))
+    assert columns_of(queries.op4_byte_bpe(spark, DATA), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == ordered(wanted)
+
+
+@needs_data
+def test_quality_query_matches_plain_rows(spark, table_rows):
+    counts = [(i, *brute.quality(t)) for i, t in table_rows]
+    wanted = [(*c, c[1] < 20 or 100 * c[5] > 30 * c[1]) for c in counts]
+    found = queries.op6_line_frequency(spark, DATA).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert columns_of(found, *found.columns[:-1]) == ordered(wanted)
+    assert found.where("base_failed and kept").count() == 0
+
+
+@needs_data
+def test_line_query_matches_plain_rows(spark, table_rows):
+    states, wanted = brute.line_states(table_rows, None, line_dedup.MIN_NEAR, line_dedup.allowed), []
+    for doc_id, _ in table_rows:
+        of = collections.Counter(s for _, s in states[doc_id])
+        wanted.append((doc_id, len(states[doc_id]), of["exact"], of["near"], brute.sha(",".join(str(p) for p, s in states[doc_id] if s == "first"))))
+    assert columns_of(queries.op5_segment_lines(spark, DATA), "doc_id", "n_lines", "n_exact", "n_near", "kept_sha256") == ordered(wanted)
+
+
 # -- periodic runs --------------------------------------------------------------------------------
 
 def test_runs_match_plain_search(spark, docs, empty):
