@@ -6,6 +6,8 @@ of a batch leave it, so neither the pairs nor their scores are ever rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +19,8 @@ from quillspark.operators.ordered import top_k
 
 # Up to this many cells (8 bytes each) the query matrix is sent to every task.
 BROADCAST_CELLS = 4_000_000
+# Scores (8 bytes each) that a worker holds at once; queries go in slices of so many.
+SCORE_CELLS = 8_000_000
 BLOCK_QUERIES = 4096
 BLOCK_ROWS = 50_000
 
@@ -39,9 +43,17 @@ def _best_cells(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block_hits(queries: np.ndarray, query_ids: pa.Array, scope: pa.Array, ids: pa.Array,
-                vectors: np.ndarray, k: int) -> pa.RecordBatch:
-    order = np.asarray(pa.compute.sort_indices(ids))
-    scores = np.round(unit_rows(vectors)[order] @ queries.T, SCORE_PLACES)
+                vectors: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """Best ``k`` rows of every scope for every query, a slice of queries at a time."""
+    order, units = np.asarray(pa.compute.sort_indices(ids)), unit_rows(vectors)
+    step = max(1, SCORE_CELLS // max(1, len(order)))
+    for start in range(0, len(query_ids), step):
+        yield _slice_hits(queries[start:start + step], query_ids.slice(start, step), scope, ids, units, order, k)
+
+
+def _slice_hits(queries: np.ndarray, query_ids: pa.Array, scope: pa.Array, ids: pa.Array, units: np.ndarray,
+                order: np.ndarray, k: int) -> pa.RecordBatch:
+    scores = np.round(units[order] @ queries.T, SCORE_PLACES)
     coded = scope.dictionary_encode()
     codes = np.asarray(coded.indices.fill_null(-1))[order]
     rows, cols = [], []
@@ -102,8 +114,8 @@ def _broadcast_scan(head: pa.Table, corpus: DataFrame, k: int, schema: str) -> D
         for batch in batches:
             batch = batch.filter(batch.column("embedding").is_valid())
             if batch.num_rows and len(query_ids):
-                yield _block_hits(block, query_ids, batch.column("scope"), batch.column("chunk_id"),
-                                  matrix_of(batch.column("embedding")), k)
+                yield from _block_hits(block, query_ids, batch.column("scope"), batch.column("chunk_id"),
+                                       matrix_of(batch.column("embedding")), k)
 
     return corpus.mapInArrow(scan, schema)
 
@@ -138,6 +150,6 @@ def _block_join(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         hits = _block_hits(unit_rows(matrix_of(q.column("q_embedding"))), _flat(q.column("query_id")),
                            _flat(c.column("scope")), _flat(c.column("chunk_id")),
                            matrix_of(c.column("embedding")), k)
-        return pa.Table.from_batches([hits]).select(names)
+        return pa.Table.from_batches(list(hits)).select(names)
 
     return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInArrow(multiply, schema)

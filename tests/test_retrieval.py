@@ -4,6 +4,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,16 @@ def test_bm25_matches_brute_force_per_scope(tiny):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_slices_of_queries_give_the_same_hits(monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors, asked = rng.normal(size=(90, 8)), rng.normal(size=(17, 8))
+    scope, ids, query_ids = pa.array([f"s{i % 3}" for i in range(90)]), pa.array(range(90)), pa.array(range(17))
+    hits = lambda: sorted(map(str, pa.Table.from_batches(list(dense._block_hits(asked, query_ids, scope, ids, vectors, 4))).to_pylist()))
+    whole = hits()
+    monkeypatch.setattr(dense, "SCORE_CELLS", 90 * 5)
+    assert hits() == whole and len(whole) == 17 * 3 * 4
+
+
 def test_dense_paths_agree(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vecs = rng.normal(size=(300, 8))
