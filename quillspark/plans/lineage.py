@@ -47,4 +47,14 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
         df.write.partitionBy(*partition_by).parquet(path)
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing is computed from them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
