@@ -677,6 +677,12 @@ def test_stages_on_awkward_rows(spark, docs, tmp_path):
     assert rows and all(r["round_trip"] and r["n_chars"] == len(r["text"]) and 4 * r["n_tokens"] == len(r["token_ids"]) for r in rows)
 
 
+def test_pipeline_on_an_empty_table(spark, empty, tmp_path):
+    empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    assert rows.count() == 0 and {"token_ids", "n_tokens", "round_trip"} <= set(rows.columns)
+
+
 @needs_data
 def test_pipeline_against_plain_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
