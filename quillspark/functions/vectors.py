@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
+from quillspark.functions import text as tx
+from quillspark.functions.terms import index_terms
+
 DIMS = 64
 
 
@@ -62,7 +65,7 @@ def to_list_array(matrix: np.ndarray) -> pa.ListArray:
 
 
 def hashing_embedder(dims: int = DIMS):
-    """The default embedder: an Arrow UDF from index terms to a unit vector.
+    """The default embedder: an Arrow UDF from index terms, or from the text that has them, to a unit vector.
 
     A trained model plugs in here: any function from a text or term column to
     an ``array<double>`` column can be handed to the dense operators instead.
@@ -70,11 +73,16 @@ def hashing_embedder(dims: int = DIMS):
 
     @F.arrow_udf("array<double>")
     def embed(tokens: pa.Array) -> pa.Array:
-        return to_list_array(hashed_matrix(tokens, dims))
+        return to_list_array(hashed_matrix(index_terms(tokens) if pa.types.is_string(tokens.type) or pa.types.is_large_string(tokens.type) else tokens, dims))
 
     return embed
 
 
+def embedded(text: Column, embedder=None) -> Column:
+    """Vector of a text: by the default embedder, or by one that takes index terms."""
+    return embedder(tx.tokenize(text)) if embedder else hashing_embedder()(text)
+
+
 def matrix_of(column: pa.Array) -> np.ndarray:
     """Rows of equal-length lists as a 2-D float64 array; a null list is a row of zeros."""
     if isinstance(column, pa.ChunkedArray):

@@ -12,9 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.functions import text as tx
-from quillspark.functions.vectors import hashing_embedder, matrix_of, unit_rows
-from quillspark.operators.lexical import SCORE_PLACES
+from quillspark.functions.vectors import embedded, matrix_of, unit_rows
+from quillspark.operators.blocks import SCORE_PLACES, Floors, scope_codes, scoped_cells
 from quillspark.operators.ordered import top_k
 
 # Up to this many cells (8 bytes each) the query matrix is sent to every task.
@@ -26,49 +25,23 @@ BLOCK_ROWS = 50_000
 
 
 def embed_texts(df: DataFrame, text: str = "text", embedder=None) -> DataFrame:
-    embed = embedder or hashing_embedder()
-    return df.withColumn("embedding", embed(tx.tokenize(F.col(text))))
-
-
-def _best_cells(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column indices of the k best rows of each column, ties by row."""
-    m = scores.shape[0]
-    if m <= k:
-        return np.nonzero(np.ones_like(scores, dtype=bool))
-    edge = np.partition(scores, m - k, axis=0)[m - k]
-    above = scores > edge
-    level = scores == edge
-    room = k - above.sum(axis=0)
-    return np.nonzero(above | (level & (np.cumsum(level, axis=0) <= room)))
+    return df.withColumn("embedding", embedded(F.col(text), embedder))
 
 
 def _block_hits(queries: np.ndarray, query_ids: pa.Array, scope: pa.Array, ids: pa.Array,
-                vectors: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+                vectors: np.ndarray, k: int, floors: Floors | None = None) -> Iterator[pa.RecordBatch]:
     """Best ``k`` rows of every scope for every query, a slice of queries at a time."""
     order, units = np.asarray(pa.compute.sort_indices(ids)), unit_rows(vectors)
+    floors = floors or Floors(len(query_ids), k)
+    codes, names = scope_codes(scope)
     step = max(1, SCORE_CELLS // max(1, len(order)))
     for start in range(0, len(query_ids), step):
-        yield _slice_hits(queries[start:start + step], query_ids.slice(start, step), scope, ids, units, order, k)
-
-
-def _slice_hits(queries: np.ndarray, query_ids: pa.Array, scope: pa.Array, ids: pa.Array, units: np.ndarray,
-                order: np.ndarray, k: int) -> pa.RecordBatch:
-    scores = np.round(units[order] @ queries.T, SCORE_PLACES)
-    coded = scope.dictionary_encode()
-    codes = np.asarray(coded.indices.fill_null(-1))[order]
-    rows, cols = [], []
-    for code in np.unique(codes):
-        members = np.nonzero(codes == code)[0]
-        r, c = _best_cells(scores[members], k)
-        rows.append(members[r])
-        cols.append(c)
-    row = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-    col = np.concatenate(cols) if cols else np.zeros(0, dtype=np.int64)
-    picked = pa.array(order[row])
-    return pa.RecordBatch.from_arrays(
-        [query_ids.take(pa.array(col)), scope.take(picked), ids.take(picked), pa.array(scores[row, col])],
-        names=["query_id", "scope", "chunk_id", "score"],
-    )
+        scores = np.round(units[order] @ queries[start:start + step].T, SCORE_PLACES)
+        row, col = scoped_cells(scores, codes[order], names, floors, start)
+        picked = pa.array(order[row])
+        yield pa.RecordBatch.from_arrays(
+            [query_ids.slice(start, step).take(pa.array(col)), scope.take(picked), ids.take(picked), pa.array(scores[row, col])],
+            names=["query_id", "scope", "chunk_id", "score"])
 
 
 def _flat(column):
@@ -111,11 +84,12 @@ def _broadcast_scan(head: pa.Table, corpus: DataFrame, k: int, schema: str) -> D
 
     def scan(batches):
         query_ids, block = shared.value
+        floors = Floors(len(query_ids), k)
         for batch in batches:
             batch = batch.filter(batch.column("embedding").is_valid())
             if batch.num_rows and len(query_ids):
                 yield from _block_hits(block, query_ids, batch.column("scope"), batch.column("chunk_id"),
-                                       matrix_of(batch.column("embedding")), k)
+                                       matrix_of(batch.column("embedding")), k, floors)
 
     return corpus.mapInArrow(scan, schema)
 

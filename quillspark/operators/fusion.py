@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions import text as tx
-from quillspark.functions.vectors import hashing_embedder
+from quillspark.functions.vectors import embedded
 from quillspark.operators import dense, lexical
 
 OVER_FETCH = 3
@@ -115,7 +115,6 @@ def variant_hits(variants: DataFrame, chunks: DataFrame, embedder=None) -> DataF
 
     ``query_id, scope, chunk_id, variant, source, weighted``.
     """
-    embed = embedder or hashing_embedder()
     asked = variants.select(
         F.concat_ws("\x1f", F.col("query_id").cast("string"), F.col("variant").cast("string")).alias("_key"),
         "query_id", "variant", "weight", "variant_text", "top_k")
@@ -124,8 +123,8 @@ def variant_hits(variants: DataFrame, chunks: DataFrame, embedder=None) -> DataF
     limit = (queries_top(asked) or 0) + OVER_FETCH
 
     words = lexical.bm25_top(keyed, chunks, limit)
-    vectors = chunks.select("scope", "chunk_id", embed(tx.tokenize(F.col("text"))).alias("embedding"))
-    asked_vectors = keyed.select("query_id", embed(tx.tokenize(F.col("query"))).alias("embedding"))
+    vectors = chunks.select("scope", "chunk_id", embedded(F.col("text"), embedder).alias("embedding"))
+    asked_vectors = keyed.select("query_id", embedded(F.col("query"), embedder).alias("embedding"))
     near = dense.dense_top(asked_vectors, vectors, limit)
 
     cols = ["query_id", "scope", "chunk_id", "score", "rank"]
@@ -205,11 +204,10 @@ def hybrid(routed: DataFrame, chunks: DataFrame, embedder=None) -> DataFrame:
 def weighted_sum_retrieval(queries: DataFrame, chunks: DataFrame, k: int, max_tokens: int = 1500,
                            embedder=None) -> DataFrame:
     """The older retriever: three dense variants, summed, cut at the token budget."""
-    embed = embedder or hashing_embedder()
     variants = expand_simple(queries).withColumn(
         "_key", F.concat_ws("\x1f", F.col("query_id").cast("string"), F.col("variant").cast("string")))
-    asked = variants.select(F.col("_key").alias("query_id"), embed(tx.tokenize(F.col("variant_text"))).alias("embedding"))
-    vectors = chunks.select("scope", "chunk_id", embed(tx.tokenize(F.col("text"))).alias("embedding"))
+    asked = variants.select(F.col("_key").alias("query_id"), embedded(F.col("variant_text"), embedder).alias("embedding"))
+    vectors = chunks.select("scope", "chunk_id", embedded(F.col("text"), embedder).alias("embedding"))
     near = dense.dense_top(asked, vectors, k + 2).withColumnRenamed("query_id", "_key")
     merged = near.join(variants.select("_key", "query_id", "weight"), "_key").groupBy(
         "query_id", "scope", "chunk_id").agg(F.sum(F.col("score") * F.col("weight")).alias("score"))
@@ -254,16 +252,15 @@ def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, min_candidate
     """
     from quillspark.functions.vectors import dot
 
-    embed = embedder or hashing_embedder()
     group = Window.partitionBy("query_id", "scope")
     gap = F.abs(F.max(F.when(F.col("rank") == 1, F.col("rrf_score"))).over(group)
                 - F.max(F.when(F.col("rank") == 2, F.col("rrf_score"))).over(group))
     gated = hits.withColumn(
         "reranked", (F.count("*").over(group) >= min_candidates) & (F.round(gap, 9) <= score_gap))
-    query_vectors = queries.select("query_id", embed(tx.tokenize(F.col("query"))).alias("query_vector"))
+    query_vectors = queries.select("query_id", embedded(F.col("query"), embedder).alias("query_vector"))
     scored = (
         gated.join(chunks.select("scope", "chunk_id", tx.head(F.col("text"), chars).alias("_t")), ["scope", "chunk_id"])
-        .withColumn("chunk_vector", embed(tx.tokenize(F.col("_t"))))
+        .withColumn("chunk_vector", embedded(F.col("_t"), embedder))
         .join(query_vectors, "query_id")
     )
     value = scorer or F.least(F.greatest(dot(F.col("query_vector"), F.col("chunk_vector")) * 10, F.lit(0.0)), F.lit(10.0))

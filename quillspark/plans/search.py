@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions import scoring as sc, text as tx
-from quillspark.functions.vectors import hashing_embedder
+from quillspark.functions.vectors import embedded
 from quillspark.operators import diversity, fusion, lexical
 from quillspark.plans.lineage import cut
 
@@ -23,8 +23,7 @@ def with_text(hits: DataFrame, chunks: DataFrame, *extra: str) -> DataFrame:
 
 
 def with_vectors(hits: DataFrame, embedder=None) -> DataFrame:
-    embed = embedder or hashing_embedder()
-    return hits.withColumn("embedding", embed(tx.tokenize(F.col("text"))))
+    return hits.withColumn("embedding", embedded(F.col("text"), embedder))
 
 
 def result_rows(hits: DataFrame, score: Column, rank: str) -> DataFrame:

@@ -211,3 +211,19 @@ def test_ask_end_to_end(spark):
     got = {r.query_id: r for r in ask.ask(asked, chunks).collect()}
     assert 3 not in got and got[2].status != "ok"
     assert got[1].status == "ok" and got[1].path == "extractive" and got[1].answer.startswith("A binary tree")
+
+
+def test_bm25_scan_gives_the_hits_of_the_joins(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(f"s{i % 3}" if i % 17 else None, i, " ".join(rng.choices(words, k=rng.randint(0, 12))) if i % 13 else None) for i in range(300)]
+    chunks = spark.createDataFrame(texts + [("s1", 1000 + i, "w1 w2 w3") for i in range(40)], "scope string, chunk_id int, text string").repartition(3)
+    asked = spark.createDataFrame([(i if i else None, " ".join(rng.choices(words, k=4))) for i in range(9)], "query_id int, query string")
+    hits = lambda: sorted(map(str, lexical.bm25_top(asked, chunks, 4).withColumn("score", F.round("score", 7)).collect()))
+    scanned = hits()
+    plan = lexical.bm25_top(asked, chunks, 4)._jdf.queryExecution().toString()
+    assert "Join" not in plan  # no row for a pair of a chunk and a query with a word in common
+    monkeypatch.setattr(lexical, "BLOCK_CELLS", 200)
+    assert hits() == scanned
+    monkeypatch.setattr(lexical, "SCAN_CELLS", 0)
+    assert hits() == scanned and len(scanned) > 90

@@ -1,8 +1,10 @@
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.functions import labels as lb, scoring as sc, text as tx
+from quillspark.functions.terms import index_terms
 from quillspark.operators import chunking, quiz, responses, sections
 
 TEXTS = ["The Cat-sat on a\nmat, MAT! x", "", "  l'été\tde 2024 ", "it's C++ and C# -- again", "a\nb new\nline"]
@@ -184,3 +186,12 @@ def test_scores_and_reasoning(spark):
         assert one(spark, text, responses.parse_score(F.col("t"))).c0 == score, text
     assert one(spark, "<think>a\nb</think> ok", responses.strip_reasoning(F.col("t"))).c0 == "ok"
     assert one(spark, "<think>a</think>", responses.strip_reasoning(F.col("t"))).c0 == "<think>a</think>"
+
+
+def test_index_terms_of_columns_equal_the_expression(spark):
+    every = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000] + ["\u212a", "\U0001f600"]
+    texts = ["", None, "  ", "of the a", "Red\nfox,jumps over-fences 42", *[f"ab{c}Cd {c}x{c} the" for c in every]]
+    for legacy in (False, True):
+        rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(tx.tokenize(F.col("text"), legacy).alias("w")).collect()
+        found = index_terms(pa.array(["skipped", *texts])[1:], legacy)
+        assert found.to_pylist() == [r.w for r in rows]
