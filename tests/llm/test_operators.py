@@ -677,6 +677,20 @@ def test_stages_on_awkward_rows(spark, docs, tmp_path):
     assert rows and all(r["round_trip"] and r["n_chars"] == len(r["text"]) and 4 * r["n_tokens"] == len(r["token_ids"]) for r in rows)
 
 
+def test_tokens_carry_the_schedule(spark, tmp_path):
+    """The rows of one table in two orders get the positions of the order that mixing wrote."""
+    table = spark.createDataFrame([(i, f"text number {i} " * 9, "en", f"s{i % 4}", 9) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    shares, seen = {f"s{i}": i + 1 for i in range(4)}, []
+    for name, shuffled in (("mixed", mixing.mix(table.repartition(3), shares, block_chars=400)), ("turned", table.repartitionByRange(3, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")))):
+        shuffled.write.parquet(f"{tmp_path}/{name}")
+        rows = corpus_pipeline.encode_tokens(spark, spark.read.parquet(f"{tmp_path}/{name}"), "").collect()
+        assert sorted(r["position"] for r in rows) == list(range(200))
+        seen.append([r["doc_id"] for r in sorted(rows, key=lambda r: r["position"])])
+    slots = mixing.place(table.withColumn("chars", F.length("text")), shares, block_chars=400).orderBy("slot", "turn", "row.doc_id").select("row.doc_id")
+    assert seen[0] == [r["doc_id"] for r in slots.collect()]
+    assert seen[1] == list(range(199, -1, -1))
+
+
 def test_pipeline_on_an_empty_table(spark, empty, tmp_path):
     empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     rows = corpus_pipeline.run(spark, str(tmp_path))
