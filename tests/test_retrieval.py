@@ -227,3 +227,17 @@ def test_bm25_scan_gives_the_hits_of_the_joins(spark, monkeypatch):
     assert hits() == scanned
     monkeypatch.setattr(lexical, "SCAN_CELLS", 0)
     assert hits() == scanned and len(scanned) > 90
+
+
+def test_terms_filtered_for_prefixes_complete_them_alike(spark):
+    rng = random.Random(8)
+    words = ["river", "rivet", "ride", "diver", "stone", "store", "alone", "riverside", "rive"]
+    rows = [(f"s{i % 2}", i, " ".join(rng.choices(words, k=30)), "River Stone" if i % 3 else None) for i in range(20)]
+    chunks = spark.createDataFrame(rows, "scope string, chunk_id int, text string, section string")
+    asked = spark.createDataFrame([(1, "s0", " Rive"), (2, "s1", "st"), (3, "s1", "x"), (4, "s9", "ri")], "query_id int, scope string, prefix string")
+    every = lexical.search_terms(chunks)
+    for floor in (0.65, 0.9, 1.01):
+        few = lexical.search_terms(chunks, only=suggest.completing(asked, floor))
+        assert 0 < few.count() < every.count()
+        found, wanted = (sorted(map(str, suggest.autocomplete(asked, t, 6, floor).collect())) for t in (few, every))
+        assert found == wanted and found
