@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions import scoring as sc, text as tx
@@ -9,6 +13,9 @@ from quillspark.functions.vectors import cosine, hashing_embedder
 from quillspark.operators import fusion
 from quillspark.operators.ordered import order_statistics, top_k
 
+# Up to this many passages are sent to the chunks.
+SENT_PASSAGES = 100_000
+
 # Phrases of a declined answer; the second list is the metric module's.
 DECLINED_RUN = ["not enough context", "not found", "not in the document", "cannot be determined", "not mentioned",
                 "no information", "not available", "outside the scope", "not covered"]
@@ -19,7 +26,9 @@ def passage_gold(passages: DataFrame, chunks: DataFrame) -> DataFrame:
     """``query_id, chunk_id`` where a chunk holds the whole passage, word for word.
 
     A passage is looked up by its longest word, so only chunks with that word
-    are compared; the word join carries ids, the texts join afterwards.
+    are compared. Passages of checked number are sent to the chunks, which are
+    read once and not shuffled; of more, the word join carries ids and the texts
+    join afterwards.
     """
     def spaced(words: Column) -> Column:
         return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
@@ -27,6 +36,9 @@ def passage_gold(passages: DataFrame, chunks: DataFrame) -> DataFrame:
     wanted = passages.select("query_id", tx.words(F.col("query")).alias("_w")).where(F.size("_w") > 0)
     longest = F.element_at(F.array_sort(F.transform("_w", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)
     wanted = wanted.select("query_id", longest["w"].alias("_key"), spaced(F.col("_w")).alias("_needle"))
+    few = wanted.limit(SENT_PASSAGES + 1).toArrow()
+    if few.num_rows <= SENT_PASSAGES:
+        return _held_passages(few, chunks, wanted.schema["query_id"].dataType.simpleString())
     words = chunks.select("chunk_id", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("_key"))
     pairs = words.join(wanted.select("query_id", "_key"), "_key").select("query_id", "chunk_id")
     texts = chunks.select("chunk_id", spaced(tx.words(F.col("text"))).alias("_hay"))
@@ -36,6 +48,31 @@ def passage_gold(passages: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def _held_passages(wanted: pa.Table, chunks: DataFrame, id_type: str) -> DataFrame:
+    """``query_id, chunk_id`` of passages (``query_id, _key, _needle``) that are sent to the chunks."""
+    keys, needles, ids = wanted["_key"].to_pylist(), wanted["_needle"].to_pylist(), wanted["query_id"].combine_chunks()
+    by_key: dict[str, list[int]] = {}
+    for at, key in enumerate(keys):
+        by_key.setdefault(key, []).append(at)
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, needles, by_key))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, needles, by_key = shared.value
+        for batch in batches:
+            rows, found = [], []
+            single = pc.replace_substring_regex(batch.column("text"), f"{tx.SPACE}+", " ")
+            for row, text in enumerate(single.to_pylist()):
+                own = by_key.keys() & set(text.split(" ")) if text else ()
+                hay = f" {text} "
+                mine = [at for key in own for at in by_key[key] if needles[at] in hay]
+                found += mine
+                rows += [row] * len(mine)
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(found, pa.int64())), batch.column("chunk_id").take(pa.array(rows, pa.int64()))], names=["query_id", "chunk_id"])
+
+    return chunks.select("chunk_id", "text").mapInArrow(scan, f"query_id {id_type}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}")
+
+
 def system_results(routed: DataFrame, chunks: DataFrame, k: int = 5, embedder=None) -> DataFrame:
     """Top-k of the vector, keyword and fused systems from one set of searches.
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.similarity import mmr_order
-from quillspark.operators import dense, diversity, fusion, lexical, quality, subjects, suggest
+from quillspark.operators import dense, diversity, evaluation, fusion, lexical, quality, subjects, suggest
 from quillspark.plans import ask
 from tests.test_text import brute_tokens
 
@@ -241,3 +241,17 @@ def test_terms_filtered_for_prefixes_complete_them_alike(spark):
         assert 0 < few.count() < every.count()
         found, wanted = (sorted(map(str, suggest.autocomplete(asked, t, 6, floor).collect())) for t in (few, every))
         assert found == wanted and found
+
+
+def test_passages_are_found_in_place_as_by_the_joins(spark, monkeypatch):
+    texts = ["one  two\tthree", "two three", "twofold three", None, "", "x one two\nthree four", " one two three", "one two threes"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    asked = [(1, "one two three"), (2, " two three "), (3, ""), (4, None), (5, "absent"), (6, "four")]
+    passages = spark.createDataFrame(asked, "query_id int, query string")
+    wanted = sorted((q, c) for q, p in asked if (p or "").split() for c, t in enumerate(texts)
+                    if f" {' '.join(p.split())} " in f" {' '.join((t or '').split())} ")
+    found = evaluation.passage_gold(passages, chunks)
+    assert sorted(map(tuple, found.collect())) == wanted
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(evaluation, "SENT_PASSAGES", 1)
+    assert sorted(map(tuple, evaluation.passage_gold(passages, chunks).collect())) == wanted
