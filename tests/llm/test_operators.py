@@ -279,6 +279,12 @@ def test_allowed_edits_grow_with_the_line(spark):
     assert wanted != brute.line_states(rows, 2, 40)
 
 
+def test_a_repeated_phrase_gives_a_key_once_per_cell(spark):
+    lines = spark.createDataFrame([(1, len(line), line) for line in ["Is onhe. " * 200]], "h1 long, n int, line string")
+    keys = [r["key"] for r in line_dedup.probe_keys(lines).collect()]
+    assert keys and len(keys) == len(set(keys))
+
+
 def test_long_lines_of_any_shape(spark):
     rng = random.Random(29)
     shapes = [lambda n: (sentence(rng, n // 4))[:n], lambda n: "".join(rng.choices("abcdefgh", k=n)), lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)),
