@@ -11,9 +11,10 @@ text count once, so being copied does not turn a document into boilerplate. A
 line is removed on hosts where it is in more than ``MAX_TEXTS`` texts, and a
 document that keeps less than ``MIN_LEFT`` of its words is depleted.
 
-Lines are deduplicated inside the document, counted by (host, line, text) and
-then by (host, line), both with partial sums, so a line of every document costs
-one row per task. Texts are never shuffled.
+Rows are counted first by slots of line hashes, one partial sum a task and slot.
+Only lines of slots with more than ``MAX_TEXTS`` rows can be frequent, so only they are
+counted exactly, by (host, line, text) and then by (host, line) with partial sums, and
+looked up again; others never leave their task. Texts are never shuffled.
 
 Defined results: a null text has no words and lines; a null host is a host of
 its own; repeated rows count once and each gets the verdict; lines without a
@@ -33,7 +34,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MAX_TEXTS = 40
 MIN_LEFT = 0.3
+#: Slots of line hashes, of which 64 share a number; beyond some billion lines most slots are crowded and all lines are counted exactly.
+SLOTS = 1 << 26
 SPACES = r"[ \t-\r]+"
+WORD = r"[^ \t-\r]+"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -77,14 +81,24 @@ def normalised(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, text: str, host: str, doc_id: str) -> DataFrame:
-    """One row per document and different line: id, host, text hash, line hash, occurrences and words."""
+    """One row per document and line with a word: id, host, text hash, words of the text, place, line hash and words."""
     lines = docs.select(F.col(doc_id).alias("_id"), F.col(host).alias("_host"), F.xxhash64(F.col(text)).alias("_text"),
-                        F.explode(F.split(F.col(text), "\n")).alias("_raw"))
+                        F.regexp_count(F.col(text), F.lit(WORD)).alias("_all"), F.posexplode(F.split(F.col(text), "\n")).alias("_place", "_raw"))
     lines = lines.withColumn("_line", normalised("_raw")).where(F.col("_line") != "")
-    return lines.select("_id", "_host", "_text", F.xxhash64("_line").alias("_hash"), F.xxhash64(F.lit(1), "_line").alias("_hash2"),
+    return lines.select("_id", "_host", "_text", "_all", "_place", F.xxhash64("_line").alias("_hash"), F.xxhash64(F.lit(1), "_line").alias("_hash2"),
                         (F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) + 1).alias("_words"))
 
 
+def crowded(lines: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
+    """The rows of lines whose slot has more than ``max_texts`` rows: every line of more than ``max_texts`` texts is among them."""
+    slot = F.xxhash64("_host", "_hash").bitwiseAND(F.lit(SLOTS - 1))
+    full = lines.groupBy(slot.alias("_slot")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max_texts)
+    bits = full.groupBy(F.shiftright("_slot", 6).alias("_at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63 as int))")).alias("_bits"))
+    placed = lines.withColumn("_slot", slot)
+    hit = (F.shiftright("_slot", 6) == F.col("_at")) & F.expr("(_bits >>> cast(_slot & 63 as int)) & 1 = 1")
+    return placed.join(F.broadcast(bits), hit).select(*lines.columns)
+
+
 def frequent_lines(lines: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
     """Lines in more than ``max_texts`` different texts of a host."""
     return lines.groupBy("_host", "_hash", "_hash2").agg(F.countDistinct("_text").alias("_texts")).where(F.col("_texts") > max_texts)
@@ -94,15 +108,14 @@ def depletion(docs: DataFrame, text: str = "text", host: str = "source", doc_id:
               max_texts: int = MAX_TEXTS) -> DataFrame:
     """Share of its words that each document keeps (``left``); only documents that lose a line are listed.
 
-    Keys are ``_id``, ``_host`` and ``_text`` (hash of the text); a repeated row
-    doubles both sums of its key and leaves the share.
+    Keys are ``_id``, ``_host`` and ``_text`` (hash of the text); repeated rows are one key and have one share.
     """
-    lines = line_table(docs, text, host, doc_id)
+    lines = crowded(line_table(docs, text, host, doc_id), max_texts)
     frequent = frequent_lines(lines, max_texts)
-    held = lines.groupBy("_id", "_host", "_text", "_hash", "_hash2").agg(F.sum("_words").alias("_words"))
-    marked = held.alias("h").join(
+    lost = lines.join(
         frequent.select(F.col("_host").alias("_fhost"), F.col("_hash").alias("_fhash"), F.col("_hash2").alias("_fhash2")),
-        F.col("_host").eqNullSafe(F.col("_fhost")) & (F.col("_hash") == F.col("_fhash")) & (F.col("_hash2") == F.col("_fhash2")), "left")
-    left = marked.groupBy("_id", "_host", "_text").agg(
-        F.sum("_words").alias("_all"), F.sum(F.when(F.col("_fhash").isNotNull(), F.col("_words"))).alias("_lost"))
-    return left.where(F.col("_lost").isNotNull()).select("_id", "_host", "_text", (1 - F.col("_lost") / F.col("_all")).alias("left"))
+        F.col("_host").eqNullSafe(F.col("_fhost")) & (F.col("_hash") == F.col("_fhash")) & (F.col("_hash2") == F.col("_fhash2")))
+    # A repeated row has the same places.
+    held = lost.groupBy("_id", "_host", "_text", "_all").agg(F.collect_set(F.struct("_place", "_words")).alias("_lines"))
+    words = F.aggregate("_lines", F.lit(0).cast("long"), lambda n, line: n + line["_words"])
+    return held.select("_id", "_host", "_text", (1 - words / F.col("_all")).alias("left"))

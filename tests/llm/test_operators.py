@@ -326,6 +326,19 @@ def test_depleted_documents(spark):
     assert all(left[100 + i] > 0.8 for i in range(30)) and not any(200 <= i < 300 for i in left)
 
 
+def test_only_lines_of_crowded_slots_are_counted_exactly(spark, monkeypatch):
+    rows = [(i, None if i % 3 else "host", f"Common  line {i:02}\nonly{chr(97 + i % 26)}{chr(97 + i // 26)} here\n\nonly{chr(97 + i % 26)}{chr(97 + i // 26)} here") for i in range(60)]
+    frame = spark.createDataFrame(rows + rows[:7], "doc_id long, source string, text string")
+    lines = line_rules.line_table(frame, "text", "source", "doc_id")
+    # Lines that cannot be frequent leave no row for the exact count; numbers are one line, nulls one host.
+    assert lines.count() > 180 and {r["_words"] for r in line_rules.crowded(lines, 10).collect()} == {3}
+    found = {r["_id"]: round(r["left"], 9) for r in line_rules.depletion(frame, max_texts=10).collect()}
+    assert found == {i: round(4 / 7, 9) for i in range(60)}
+    # Lines that share a slot are still told apart.
+    monkeypatch.setattr(line_rules, "SLOTS", 2)
+    assert found == {r["_id"]: round(r["left"], 9) for r in line_rules.depletion(frame, max_texts=10).collect()}
+
+
 # -- Merkle trees -------------------------------------------------------------------------
 
 def test_audit_finds_every_difference(spark):
