@@ -285,6 +285,32 @@ def test_a_repeated_phrase_gives_a_key_once_per_cell(spark):
     assert keys and len(keys) == len(set(keys))
 
 
+def test_a_family_of_near_copies_does_not_meet_in_all_pairs(spark, monkeypatch):
+    rng = random.Random(41)
+    base = sentence(rng, 120)[:330]
+    edits = line_dedup.allowed(len(base))
+
+    def edited(line, places):
+        return "".join("#" if i in places else c for i, c in enumerate(line))
+
+    rows = [(0, base)] + [(i, edited(base, rng.sample(range(30, 300), 2))) for i in range(1, 121)]
+    # Too far from the leader; close to that one only; as far as the edits reach; an exact copy.
+    far = edited(base, range(40, 300, 12))
+    rows += [(200, far), (201, edited(far, [35])), (202, edited(base, range(45, 45 + 20 * edits, 20))), (203, base)]
+    made, candidates = [], line_dedup.candidates
+
+    def counted(*args):
+        found = candidates(*args)
+        made.append(found.distinct().count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "candidates", counted)
+    states = {r["doc_id"]: r["lines"][0]["state"] for r in line_dedup.verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, state in states.items() if state == "first"} == {0, 200}
+    assert {i for i, state in states.items() if state == "exact"} == {203}
+    assert made[0] < 10 * len(rows)
+
+
 def test_long_lines_of_any_shape(spark):
     rng = random.Random(29)
     shapes = [lambda n: (sentence(rng, n // 4))[:n], lambda n: "".join(rng.choices("abcdefgh", k=n)), lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)),
