@@ -6,6 +6,7 @@ import os
 import random
 import zlib
 from array import array
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import (bpe, components, language, line_dedup, line_rules, merkle, mixing, negatives, ngram_join, packing, periodic, queries, repeats, secrets, syncmers)
+from quillspark.plans.lineage import rewritten, stored
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.001"
@@ -311,6 +313,39 @@ def test_a_family_of_near_copies_does_not_meet_in_all_pairs(spark, monkeypatch):
     assert made[0] < 10 * len(rows)
 
 
+def test_pairs_of_a_family_are_compared_in_passes(spark, monkeypatch):
+    rng = random.Random(43)
+    # Near misses: a common middle, other ends; each fifth is a copy of the line before it with a few edits.
+    middle, lines = sentence(rng, 60)[:150], []
+    for i in range(40):
+        line = lines[-1][:40] + "#" + lines[-1][42:] if i % 5 == 4 else sentence(rng, 12)[:25] + middle + sentence(rng, 12)[:25]
+        lines.append(line)
+    rows, sizes, verified = list(enumerate(lines)), [], line_dedup.verified
+
+    def counted(pairs, texts):
+        sizes.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(line_dedup, "verified", counted)
+    monkeypatch.setattr(line_dedup, "PASS_LEAST", 1 << 16, raising=False)
+    found = {r["doc_id"]: [tuple(x) for x in r["lines"]] for r in line_dedup.verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute.line_states(rows, None, line_dedup.MIN_NEAR, line_dedup.allowed)
+    assert sum(sizes) > 500 > max(sizes)
+
+
+def test_a_rewritten_table_is_on_disk_once(spark):
+    table = stored(spark.range(40).selectExpr("id", "cast(id % 4 as int) as part"), "part")
+    seen = []
+
+    def change(rows):
+        seen.append(len(list(Path(table.stored_at.removeprefix("file:")).glob("part=*"))))
+        return rows.withColumn("twice", F.col("id") * 2)
+
+    new = rewritten(table, "part", [0, 1, 2, 3], change)
+    assert sorted(r["twice"] for r in new.where("part = 1").collect()) == [2 * i for i in range(1, 40, 4)]
+    assert new.count() == 40 and seen == [4, 4, 3, 2, 1] and not Path(table.stored_at.removeprefix("file:")).exists()
+
+
 def test_long_lines_of_any_shape(spark):
     rng = random.Random(29)
     shapes = [lambda n: (sentence(rng, n // 4))[:n], lambda n: "".join(rng.choices("abcdefgh", k=n)), lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)),
