@@ -229,9 +229,9 @@ def failure_categories(spark, sf_dir):
 
 def predictions(spark, sf_dir) -> DataFrame:
     """Labelled documents, confident in proportion to their length, right when their quality is 1."""
-    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
-    return docs.select(F.least(F.lit(1.0), tx.word_count(F.col("text")) / 400).alias("confidence"),
-                       (F.col("quality") == 1).alias("correct"))
+    # Counted before the join, which so moves no text.
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.least(F.lit(1.0), tx.word_count(F.col("text")) / 400).alias("confidence"))
+    return docs.join(read(spark, sf_dir, "labels"), "doc_id").select("confidence", (F.col("quality") == 1).alias("correct"))
 
 
 PRED_SQL = f"""p as (select least(1.0, {sql.wc('text')} / 400) as c, quality = 1 as ok from documents join labels using (doc_id))"""
